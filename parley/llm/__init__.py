@@ -1,11 +1 @@
-"""Operators for large-scale training-data preparation.
-
-Nothing outside this subpackage imports it. Worker functions are pickled by value, so
-executors need no copy of this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for large-scale training-data preparation. Nothing outside imports this."""

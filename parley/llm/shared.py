@@ -1,89 +1,6 @@
-"""Helpers shared by the operators: shared storage, graph components, packed sort keys."""
+"""What the operators share with the rest of the library."""
 
-from __future__ import annotations
+from ..operators.graph import connected_components
+from ..storage import discard, materialize, new_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the setting is absent (tests on one machine) a folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="parley-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage and survives
-    the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._parley_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete a table made by materialize()."""
-    path = getattr(df, "_parley_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph by alternating large-star and small-star steps.
-
-    edges: a long, b long (no nulls; self loops and repeats are ignored). Returns node, root
-    for every node that has a link to another node; root is the smallest node of the
-    component. Every step is an aggregate with map-side combining and a join that AQE may
-    split; nothing is gathered per node, so a hub with a third of all links is no hot task.
-    """
-    pairs = materialize(
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "links",
-    )
-    state = None
-    for _ in range(max_rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        star = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(star, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        step = materialize(
-            moved.unionByName(star.select("u", F.col("m").alias("v")))
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .where("u <> v")
-            .distinct(),
-            "links",
-        )
-        discard(pairs)
-        pairs = step
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == now:
-            break
-        state = now
-    else:
-        raise RuntimeError("components did not settle")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+__all__ = ["connected_components", "discard", "materialize", "new_path", "shared_dir"]
