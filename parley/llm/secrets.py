@@ -24,9 +24,10 @@ CLASSES = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access
 
 
 def found(text: Column, kind: str) -> Column:
-    """Array of (gap, length, value length) of the leftmost non-overlapping matches."""
+    """Array of (gap, length, value length) of the leftmost non-overlapping matches. Each search
+    starts where the last match ended and nowhere else, so a tail without matches is read once."""
     pattern, group, _, test = (BASE | WEAK)[kind]
-    whole = F.lit(f"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"\G(?s)(.*?)({pattern})")
     each = lambda g: F.regexp_extract_all(text, whole, F.lit(g))
     lengths = lambda c: F.transform(c, lambda x: F.length(x))
     parts = F.arrays_zip(lengths(each(1)).alias("gap"), lengths(each(2)).alias("n"), lengths(each(group)).alias("v"))
