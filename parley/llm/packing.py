@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,44 +18,64 @@ from .shared import materialize
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, tie long"
 
 
+MARKS = b".,;:!?%#*&$()"
+
+
+def stem_length(word: bytes) -> int:
+    """Bytes before the marks at a word's end, or 0 if there are none or what stands before them
+    is not surely a letter (ASCII, or Latin-1 in UTF-8 but for the two signs among them)."""
+    n = len(word.rstrip(MARKS))
+    if not 0 < n < len(word):
+        return 0
+    last = word[n - 1]
+    latin = n > 1 and word[n - 2] == 0xC3 and last >= 0x80 and last not in (0x97, 0xB7)
+    return n if 97 <= last <= 122 or latin else 0
+
+
+def tokenizer_here(path: str) -> WordTokenizer:
+    """This worker process's tokenizer, kept with its cache from task to task."""
+    kept = sys.__dict__.setdefault("_parley_tokenizers", {})
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are the ids
-    of its words in order. Words are looked up in a bounded cache; the words of a batch that
-    are not there are encoded together. A full stop or comma after an ASCII letter is a word
-    of its own for the tokenizer and is looked up apart.
+    of its words in order. Words are looked up in a bounded cache of two halves: a full half
+    becomes the older one, so frequent words stay. Marks that end a word are a token group of
+    their own for the tokenizer and are looked up apart (see stem_length).
     """
 
-    def __init__(self, path: str, cache_words: int = 600_000):
+    def __init__(self, path: str, cache_words: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.cache, self.most = Tokenizer.from_file(path), {}, cache_words
+        encode, older = Tokenizer.from_file(path).encode_batch_fast, {}
+
+        class Words(dict):
+            def __missing__(self, word: bytes) -> bytes:
+                ids = older.get(word)
+                if ids is None:
+                    n = stem_length(word)
+                    if n:
+                        ids = self[word[:n]] + self[word[n:]]
+                    else:
+                        ids = array("I", encode([word.decode()], add_special_tokens=False)[0].ids).tobytes()
+                self[word] = ids
+                return ids
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.words, self.older, self.half = Words(), older, cache_words // 2
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
-        seen: set[bytes] = set()
-        for words in split:
-            seen.update(words)
-        cache = self.cache
-        if len(cache) + len(seen) > self.most:
-            cache.clear()
-        new = seen.difference(cache)
-        tails = {w for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-        bare = {w[:-1] for w in tails} | {b".", b","} | (new - tails)
-        bare = [w for w in bare if w not in cache]
-        for at in range(0, len(bare), 4096):
-            part = bare[at : at + 4096]
-            cache.update(zip(part, self._encode(part)))
-        for w in tails:
-            cache[w] = cache[w[:-1]] + cache[w[-1:]]
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.words) > self.half:
+            self.older.clear()
+            self.older.update(self.words)
+            self.words.clear()
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.lower().split())) for t in texts]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0) -> DataFrame:
@@ -61,7 +83,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordTokenizer(tokenizer)
+        model = tokenizer_here(tokenizer)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
@@ -214,7 +236,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: i
 
     The driver sees only the histogram of lengths (at most `limit` rows) and the plan, whose
     size depends on `limit`. Pieces get their rank among those of their length from counts per
-    stored block, so no task sees all pieces of one length.
+    stored block, so no task sees all pieces of one length. Those counts grow with the blocks, so
+    they are merged, not broadcast.
     """
     pieces = materialize(
         tokenized_pieces(docs, tokenizer, limit, end_id).withColumn("block", F.spark_partition_id()), "pieces"
@@ -246,7 +269,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: i
 
     # a (length, block) group is part of one stored block, so it is bounded by a partition
     ranked = (
-        pieces.join(before, ["length", "block"])
+        pieces.join(before.hint("merge"), ["length", "block"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", "block", "base", "tie")
         .repartition("length", "block")
         .sortWithinPartitions("length", "block", "doc_id", "piece", "tie")
