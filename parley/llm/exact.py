@@ -57,11 +57,13 @@ def exact_dedup(docs: DataFrame, prefix: int = 64, filter_bits: int = 20, digest
     groups = (
         rows.where("survives")
         .groupBy("n_bytes", "prefix_hash", "full_hash")
-        .agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"), F.count_if(F.col("doc_id").isNull()).alias("null_ids"))
+        .agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
         .where("group_size > 1")
     )
     own = rows.where("survives").groupBy("full_hash", "doc_id").agg(F.count("*").alias("copies")).where("copies > 1")
-    joined = rows.where("survives").join(groups.drop("null_ids"), ["n_bytes", "prefix_hash", "full_hash"], "left")
+    # a stored table, so that the join shuffles both sides anew and a hot group can be split
+    groups = materialize(groups, "groups")
+    joined = rows.where("survives").join(groups, ["n_bytes", "prefix_hash", "full_hash"], "left")
     repeated = joined.join(
         own.withColumnsRenamed({"full_hash": "_h", "doc_id": "_d"}), F.expr("full_hash = _h and doc_id <=> _d"), "left"
     )
