@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .shared import materialize
+
 WORD = re.compile(r"\w+")
 STEM, CLIP = 5, 3.0
 SCORES = "expected_severity double, severity int, toxic boolean"
@@ -106,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features
         labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(max_rows)
     )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int"))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = materialize(found.select("text", F.col("toxic").cast("int")), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, bad = Counter(), Counter()
