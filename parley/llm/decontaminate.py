@@ -109,7 +109,7 @@ class Matcher:
         return out
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least_chars: int = 40, block_chars: int = 4 << 20) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least_chars: int = 40, block_chars: int = 1 << 20) -> DataFrame:
     """doc_id, item_id, distance, budget, first_char, end_char: one row for each document and
     item it holds within int(rate * length) edits, at the place of least distance (the first of
     equals, in characters of the lower-cased text with single spaces).
