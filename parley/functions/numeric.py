@@ -20,7 +20,7 @@ def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
     z2 = Z95 * Z95
     centre = (p + z2 / (2 * m)) / (1 + z2 / m)
     half = Z95 * F.sqrt(p * (1 - p) / m + z2 / (4 * m * m)) / (1 + z2 / m)
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return F.when(m.isNotNull(), F.greatest(F.lit(0.0), centre - half)), F.when(m.isNotNull(), F.least(F.lit(1.0), centre + half))
 
 
 def logit(p: Column, clip: float = 1e-6) -> Column:

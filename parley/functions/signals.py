@@ -159,7 +159,8 @@ def risk_features(text: Column, base_score: Column, entities: Column) -> dict[st
     out = {"base_score": base_score} | text_shape(text)
     out["entity_share"] = F.least(F.lit(10.0), F.size(entities).cast("double")) / 10
     out["sensitive_share"] = F.least(F.lit(10.0), count(lambda e: e["sensitive"])) / 10
-    out |= {f"entity_{t}": F.least(F.lit(3.0), count(lambda e, t=t: e["entity_type"] == t)) / 3 for t in FEATURE_TYPES}
+    of_type = lambda t: count(lambda e: e["entity_type"] == t)
+    out |= {f"entity_{t}": F.least(F.lit(3.0), of_type(t)) / 3 for t in FEATURE_TYPES}
     out |= {f"tactic_{k}": v for k, v in shares.items()}
     out["tactic_coverage"] = reduce(lambda a, b: a + b, (F.when(v > 0, 1.0).otherwise(0.0) for v in shares.values())) / len(shares)
     out["stage_progress"] = stage_progress(hits)

@@ -23,11 +23,11 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Character n-grams of words padded with a blank on both sides, within words only."""
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = [
-        F.flatten(F.transform(padded, lambda w, n=n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1)), lambda i: F.substr(w, i, F.lit(n)))))
-        for n in sizes
-    ]
-    return F.concat(*grams)
+    def of_size(n: int) -> Column:
+        starts = lambda w: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w) - n + 1))
+        return F.flatten(F.transform(padded, lambda w: F.transform(starts(w), lambda i: F.substr(w, i, F.lit(n)))))
+
+    return F.concat(*map(of_size, sizes))
 
 
 def tfidf_stages(vocabulary: int = 4096, least_docs: int = 2, most_share: float = 0.995) -> list:

@@ -294,9 +294,9 @@ def redacted_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(text.mask(F.col("text"), [(URL, "[URL]"), (EMAIL, "[EMAIL]")]), 256).alias("redacted_sha256"))
 
 
-@query("""WITH p AS (SELECT a.conv_id, a.turn, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, CASE WHEN ref = '' THEN (hyp <> '')::INT ELSE levenshtein(ref, hyp)::DOUBLE / length(ref) END AS cer FROM p""")
+@query()
 def cer(t: Tables) -> DataFrame:
+    """Character error rate of a turn against the next; DuckDB's edit distance counts bytes."""
     a = t.conversations.select("conv_id", "turn", F.col("text").alias("ref"))
     b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", metrics.edit_rates(a, "ref", "hyp")["cer"].alias("cer"))
@@ -321,7 +321,7 @@ def url_hosts(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host")).distinct()
 
 
-@query("""WITH c AS (SELECT text, row_number() OVER () AS n FROM conversations) SELECT doc_id FROM documents
+@query("""SELECT doc_id FROM documents
 WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(?:token|password|license|card|payment|loan)([^A-Za-z0-9_]|$)')""")
 def keyword_overlap(t: Tables) -> DataFrame:
     return t.documents.where(views.ascii_overlap(F.col("text"), "token|password|license|card|payment|loan")).select("doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..functions.numeric import wilson
-from ..operators import gates, metrics, sampling, thresholds, views
+from ..operators import gates, loaders, metrics, reports, sampling, thresholds, views
 from .conversations import unit_sql
 from .registry import Tables, query
 
@@ -332,3 +332,77 @@ def quota_gaps(t: Tables) -> DataFrame:
 def json_checks(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", F.col("props").alias("payload"), F.lit("$.k").alias("path"), F.lit("1").alias("expected"))
     return gates.json_checks(rows).select("event_id", "actual", "status")
+
+
+@query(f"WITH {SCORED} SELECT count(*) AS n, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM scored")
+def describe_pool(t: Tables) -> DataFrame:
+    return reports.pool(scored(t))
+
+
+def _split_sql(key: str, salt: str, train: float, validation: float) -> str:
+    u = unit_sql(key, salt)
+    return f"CASE WHEN {u} < {train} THEN 'train' WHEN {u} < {validation} THEN 'validation' ELSE 'test' END"
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT * FROM (VALUES ('train'), ('validation'), ('test')) s(split), (VALUES (0), (1)) l(label)),
+c AS (SELECT {_split_sql('doc_id', 'split', 0.7, 0.85)} AS split, label, count(*) AS n FROM scored GROUP BY ALL)
+SELECT split, label, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (split, label)""")
+def split_label_counts(t: Tables) -> DataFrame:
+    from .conversations import split_of
+
+    return reports.split_label_counts(scored(t).withColumn("split", split_of(F.col("doc_id"))))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host FROM pages),
+u AS (SELECT page_id, ('0x' || substr(sha256('content-v1|' || host), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM p)
+SELECT page_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7::DOUBLE + 0.15::DOUBLE THEN 'validation' ELSE 'test' END AS split FROM u""")
+def source_partition(t: Tables) -> DataFrame:
+    rows = t.pages.select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("source_url"), F.col("page_id").cast("string").alias("conversation_id"))
+    return loaders.partition_external(rows).select("page_id", "split")
+
+
+@query(f"""WITH {SCORED} SELECT source, count(*) FILTER (label = 1 AND quality > 0) AS positives FROM scored GROUP BY source HAVING count(*) FILTER (label = 1 AND quality > 0) >= 2""")
+def support_gate(t: Tables) -> DataFrame:
+    return reports.supported(scored(t).withColumn("mask", F.col("quality")), "source", 2)
+
+
+@query(f"""WITH {SCORED}, m AS (SELECT * FROM scored WHERE quality = 1),
+c AS (SELECT lang, count(*) FILTER (label = 1 AND score >= 0.5) AS tp, count(*) FILTER (label = 0 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn FROM m GROUP BY lang),
+s AS (SELECT lang, score, sum(label) AS p, count(*) AS n FROM m GROUP BY lang, score),
+k AS (SELECT lang, p, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM s WINDOW w AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT lang, round(sum(p * (tp::DOUBLE / seen)) / nullif(sum(p), 0), 6)::DOUBLE AS pr_auc FROM k GROUP BY lang)
+SELECT lang, round({div('tp', '(tp + fp)')}, 6) AS "precision", round({div('tp', '(tp + fn)')}, 6) AS recall,
+round({f_sql(div('tp', '(tp + fp)'), div('tp', '(tp + fn)'), 1)}, 6) AS f1, pr_auc FROM c JOIN a USING (lang)""")
+def supervised_metrics(t: Tables) -> DataFrame:
+    return rounded(reports.supervised_metrics(scored(t).withColumn("mask", F.col("quality")), "lang"), "precision", "recall", "f1", "pr_auc")
+
+
+@query(f"""WITH {SCORED} SELECT lang AS language, count(*) AS n, round(avg(CASE WHEN (score >= 0.5)::INT = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM scored GROUP BY GROUPING SETS ((lang), ())""")
+def suite_accuracy(t: Tables) -> DataFrame:
+    rows = scored(t).select(F.col("lang").alias("language"), F.col("label").alias("expected"), (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rounded(reports.suite_accuracy(rows), "accuracy")
+
+
+@query(f"""WITH {SCORED}, l AS (SELECT * FROM (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256(doc_id::VARCHAR), doc_id) AS k FROM scored) WHERE k <= 15) SELECT doc_id, label FROM l""")
+def capped_halves(t: Tables) -> DataFrame:
+    return sampling.capped_halves(scored(t), "doc_id", 30).select("doc_id", "label")
+
+
+@query(f"""WITH m AS (SELECT doc_id::VARCHAR AS conversation_id, {_split_sql('doc_id', 'split', 0.7, 0.85)} AS a, {_split_sql('doc_id', 'split', 0.7, 0.8)} AS b FROM documents)
+SELECT conversation_id, a AS manifest_split, CASE WHEN doc_i IS NOT NULL THEN b END AS listed_split FROM (SELECT *, CASE WHEN conversation_id::BIGINT % 50 <> 0 THEN 1 END AS doc_i FROM m)
+WHERE a IS DISTINCT FROM CASE WHEN doc_i IS NOT NULL THEN b END""")
+def manifest_agreement(t: Tables) -> DataFrame:
+    """A manifest against lists that were cut elsewhere and lack some ids."""
+    at = hashing.unit32(F.col("doc_id").cast("string"), "split")
+    cut = lambda top: F.when(at < 0.7, "train").when(at < top, "validation").otherwise("test")
+    key = F.col("doc_id").cast("string").alias("conversation_id")
+    return reports.manifest_agreement(t.documents.select(key, cut(0.85).alias("split")), t.documents.where("doc_id % 50 <> 0").select(key, cut(0.8).alias("split")))
+
+
+@query("""SELECT o_orderpriority AS name, o_orderkey AS conversation_id, o_totalprice AS score FROM
+(SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1""")
+def best_row(t: Tables) -> DataFrame:
+    """The best row of each group by a composite key, without a sort of the group."""
+    order = F.struct("o_totalprice", (-F.col("o_orderkey")).alias("k"))
+    best = t.orders.groupBy("o_orderpriority").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), order).alias("x"))
+    return best.select(F.col("o_orderpriority").alias("name"), F.col("x.o_orderkey").alias("conversation_id"), F.col("x.o_totalprice").alias("score"))

@@ -17,7 +17,7 @@ def received(t: Tables) -> DataFrame:
     from ..functions.hashing import unit32
 
     delay = F.round(unit32(F.col("event_id").cast("string"), "delay") * 900).cast("int") - 200
-    return t.events.withColumn("now", F.timestamp_micros(F.unix_micros("ts") + delay.cast("long") * 1_000_000))
+    return t.events.withColumn("now", F.timestamp_micros(handoff.micros(F.col("ts")) + delay.cast("long") * 1_000_000))
 
 
 @query(f"SELECT event_id, CASE WHEN d > 300 THEN 'stale' WHEN d < -60 THEN 'future' ELSE 'fresh' END AS state FROM (SELECT event_id, {_DELAY_SQL} AS d FROM events)")

@@ -33,7 +33,7 @@ def payload() -> Column:
     def shown(c: str) -> Column:
         if c == "issued_at":
             return F.unix_micros(F.col(c)).cast("string")
-        return F.format_number(F.col(c), "0.000000") if c in ("scam_score", "threshold") else F.col(c).cast("string")
+        return F.format_string("%.6f", F.col(c)) if c in ("scam_score", "threshold") else F.col(c).cast("string")
 
     return F.to_json(F.struct(*(shown(c).alias(c) for c in sorted(SIGNED))))
 
@@ -42,8 +42,13 @@ def sign(df: DataFrame, secret: str) -> DataFrame:
     return df.withColumn("signature", hmac_sha256(payload(), secret))
 
 
+def micros(t: Column) -> Column:
+    """Microseconds of a time with or without a zone; one without counts in the session's."""
+    return F.unix_micros(t.cast("timestamp"))
+
+
 def freshness(issued: Column, now: Column) -> Column:
-    age = (F.unix_micros(now) - F.unix_micros(issued)) / 1e6
+    age = (micros(now) - micros(issued)) / 1e6
     return F.when(issued.isNull(), "bad_time").when(age > STALE_S, "stale").when(age < -AHEAD_S, "future").otherwise("fresh")
 
 
@@ -167,7 +172,7 @@ def user_sessions(events: DataFrame, gap_s: int = 1800) -> DataFrame:
     from pyspark.sql import Window as W
 
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.coalesce((F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w)) > gap_s * 1_000_000).cast("int"), F.lit(1))
+    new = F.coalesce((micros(F.col("ts")) - micros(F.lag("ts").over(w)) > gap_s * 1_000_000).cast("int"), F.lit(1))
     marked = events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w))
     return marked.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
