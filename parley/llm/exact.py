@@ -90,5 +90,5 @@ def drop_exact_copies(docs: DataFrame, **params) -> DataFrame:
     if again.isEmpty():
         return stay
     match = stay["doc_id"].eqNullSafe(again["_d"]) & (F.sha2(F.coalesce(stay["text"], F.lit("")), 256) == again["_h"])
-    once = stay.join(again, match, "left_semi").withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return stay.join(again, match, "left_anti").unionByName(once.dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    once = stay.join(again, match, "left_semi").withColumn("__text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return stay.join(again, match, "left_anti").unionByName(once.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash"))

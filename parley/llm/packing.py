@@ -49,7 +49,7 @@ class WordTokenizer:
     their own for the tokenizer and are looked up apart (see stem_length).
     """
 
-    def __init__(self, path: str, cache_words: int = 1_500_000):
+    def __init__(self, path: str, cache_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
