@@ -93,3 +93,20 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str, most: int = 30) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most)
+
+
+def frozen_set(intake: DataFrame, annotations: DataFrame, adjudications: DataFrame, known: DataFrame, channels: list[str], tactics: list[str], least_turns: int = 2) -> DataFrame:
+    """Every intake record with all that keeps it out of a frozen set, in `errors`: its own
+    faults, faults of its annotations, missing consensus, and transcripts that `known` (column
+    transcript_sha256) has already."""
+    from .loaders import transcript
+
+    own = intake.select("*", intake_errors(channels, least_turns).alias("_own"), F.sha2(transcript(F.col("turns")), 256).alias("transcript_sha256"))
+    bad = annotations.select("conversation_id", F.explode(annotation_errors(tactics)).alias("e")).groupBy("conversation_id").agg(F.array_sort(F.collect_set("e")).alias("_notes"))
+    signed = annotations.withColumn("tactics", F.array_sort(F.array_distinct("tactics")))
+    status = consensus(signed, adjudications, "conversation_id", "annotator_id", ["is_scam", "scam_type", "tactics", "stage"]).select("conversation_id", "status")
+    leaked = known.select("transcript_sha256", F.lit("leaks").alias("_leak")).distinct()
+    out = own.join(bad, "conversation_id", "left").join(status, "conversation_id", "left").join(leaked, "transcript_sha256", "left")
+    missing = F.when(F.coalesce("status", F.lit("needs_annotators")).isin("agreed", "adjudicated"), None).otherwise(F.coalesce("status", F.lit("needs_annotators")))
+    none = F.array().cast("array<string>")
+    return out.withColumn("errors", F.concat("_own", F.coalesce("_notes", none), F.array_compact(F.array(missing, F.col("_leak"))))).drop("_own", "_notes", "_leak", "status")

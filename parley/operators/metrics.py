@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f_beta, ratio, wilson
+from .joins import null_safe
 
 BUCKETS = 4096
 
@@ -30,7 +31,7 @@ def cumulative(counts: DataFrame, keys: list[str] | None = None, descending: boo
     base = placed.groupBy(*keys, "_b").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     base = base.select(*keys, "_b", F.coalesce(F.sum("_p").over(outer), F.lit(0)).alias("_p"), F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_n"))
     sums = placed.select("*", F.sum("p").over(inner).alias("tp"), F.sum("n").over(inner).alias("fp"))
-    return sums.join(base, [*keys, "_b"]).withColumn("tp", F.col("tp") + F.col("_p")).withColumn("fp", F.col("fp") + F.col("_n")).drop("_b", "_p", "_n")
+    return null_safe(sums, base, [*keys, "_b"]).withColumn("tp", F.col("tp") + F.col("_p")).withColumn("fp", F.col("fp") + F.col("_n")).drop("_b", "_p", "_n")
 
 
 def confusion(threshold: Column | float) -> list[Column]:

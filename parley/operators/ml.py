@@ -94,6 +94,20 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def save_run(spark, path: str, model: PipelineModel | None, tables: dict[str, DataFrame], facts: dict) -> None:
+    """A training run: the model, its tables, and the facts about it (settings, threshold,
+    metrics) as one JSON row with the versions that made it."""
+    import json
+    import platform
+
+    if model is not None:
+        save_model(model, f"{path}/model")
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    told = json.dumps(facts | {"spark": spark.version, "python": platform.python_version()}, sort_keys=True)
+    spark.createDataFrame([(told,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
 def platt(df: DataFrame, score: str = "score") -> Callable[[Column], Column]:
     """Logistic regression on the logit, with the penalty of C = 1; gives an expression."""
     rows = df.select(F.col("label").cast("double").alias("label"), logit(F.col(score)).alias("x"))
@@ -142,6 +156,53 @@ def leave_one_source_out(df: DataFrame, sources: list[str], fit: Callable[[DataF
     return out
 
 
+def truncated_svd(df: DataFrame, k: int = 128, features: str = "features") -> Callable[[DataFrame], DataFrame]:
+    """A projection on the k leading right singular vectors, without centring; adds `reduced`.
+    The vectors are as large as features times k."""
+    from pyspark.ml.linalg import DenseMatrix
+    from pyspark.mllib.linalg import Vectors as OldVectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    rows = df.select(features).rdd.map(lambda r: OldVectors.fromML(r[0]))
+    v = RowMatrix(rows).computeSVD(k, computeU=False).V
+    basis = DenseMatrix(v.numRows, v.numCols, v.toArray().flatten("F").tolist()).toArray()
+
+    @F.udf(VectorUDT())
+    def project(x):
+        return Vectors.dense(basis[x.indices].T @ x.values if hasattr(x, "indices") else basis.T @ x.toArray())
+
+    return lambda d: d.withColumn("reduced", project(features))
+
+
+def fit_detector(df: DataFrame, vocabulary: int = 4096, weight: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Features and a linear model on the rows given; a transform that adds `score`."""
+    features = fit_tfidf(df, vocabulary)
+    model = linear(weight).fit(features(df))
+    return lambda rows: positive_score(model.transform(features(rows))).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def ablate(df: DataFrame, sources: list[str], variants: dict[str, Callable[[DataFrame], Callable[[DataFrame], DataFrame]]]) -> str:
+    """The variant of the highest mean ROC-AUC over held-out sources; ties go to the first name."""
+    means = {}
+    for name, fit in variants.items():
+        means[name] = leave_one_source_out(df, sources, fit).agg(F.avg("roc_auc")).first()[0] or 0.0
+    return min(means, key=lambda n: (-means[n], n))
+
+
+def calibrate_and_select(calibration: DataFrame, selection: DataFrame, most_fpr: float, least_negatives: int, keys: list[str]) -> dict:
+    """Of no calibration and Platt's, the one of the lower Brier score on the selection rows, and
+    the bound that calibrated scores must exceed there."""
+    from .metrics import brier
+    from .thresholds import shared_bound
+
+    best = None
+    for name, expression in (("none", lambda s: s), ("platt", platt(calibration))):
+        rows = selection.withColumn("score", expression(F.col("score")))
+        made = {"method": name, "brier": rows.agg(brier()).first()[0], "bound": shared_bound(rows, most_fpr, least_negatives, keys).first()["bound"]}
+        best = made if best is None or made["brier"] < best["brier"] else best
+    return best
+
+
 def choose_family(runs: list[dict]) -> str:
     """Candidates by name; a later one wins if its recall gains more than the pooled spread,
     and within the spread by lower latency, then macro F1, then bytes."""

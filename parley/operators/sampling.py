@@ -6,11 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import null_safe
+
 
 def hash_rank(key: Column, salt: str = "") -> Column:
     return F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)
 
 
+def with_rank(df: DataFrame, key: str, by: list[str], salt: str = "", rank: str = "rank") -> DataFrame:
+    """df with each row's place by hash in its group, from 1. Rows are ranked within 4096 ranges
+    of the hash and counts of the ranges before are added, so a group with a third of all rows
+    is ranked by many tasks."""
+    placed = df.withColumn("_r", hash_rank(F.col(key), salt)).withColumn("_b", F.substring("_r", 1, 3))
+    counts = placed.groupBy(*by, "_b").agg(F.count("*").alias("_m"))
+    below = F.sum("_m").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    total = F.sum("_m").over(W.partitionBy(*by))
+    bases = counts.select(*by, "_b", F.coalesce(below, F.lit(0)).alias("_base"), total.alias("_n"))
+    inner = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_r", key))
+    return null_safe(placed.withColumn("_i", inner), bases, [*by, "_b"]).withColumn(rank, F.col("_base") + F.col("_i")).drop("_b", "_i", "_base")
+
+
 def first_n(df: DataFrame, key: str, n: int, by: list[str]) -> DataFrame:
     """The n rows of the smallest hash in each group. A window of a row number limit sorts a
     group's ranks in parts first, so a large group is cut before it is gathered."""
@@ -22,9 +37,7 @@ def halves(df: DataFrame, key: str, by: list[str], share: float = 0.5, salt: str
     """df with `part`: in each group the first rows by hash calibrate, the rest set the
     threshold; the cut is the share rounded half to even, at least one and at most all but one.
     A group of one goes to calibration if its hash is even, which needs no order among groups."""
-    r = hash_rank(F.col(key), salt)
-    w = W.partitionBy(*by)
-    at = df.withColumn("_r", r).withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy("_r", key)))
+    at = with_rank(df, key, by, salt, "_k")
     cut = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * share).cast("long")))
     even = F.conv(F.substring("_r", -1, 1), 16, 10).cast("int") % 2 == 0
     part = F.when(F.col("_n") == 1, F.when(even, "calibration").otherwise("threshold")).when(F.col("_k") <= cut, "calibration").otherwise("threshold")
@@ -36,8 +49,7 @@ def balanced_negatives(df: DataFrame, key: str, mixed_ratio: float, ratio: float
     positives times `mixed_ratio` (rounded up); then sources without positives in turn, one row
     of each a round, up to `ratio` negatives per positive in all."""
     totals = df.groupBy("source").agg(F.count_if(F.col("label") == 1).alias("pos"))
-    neg = df.where("label = 0").join(F.broadcast(totals), "source").withColumn("_r", hash_rank(F.col(key)))
-    turn = neg.withColumn("_k", F.row_number().over(W.partitionBy("source").orderBy("_r", key)))
+    turn = null_safe(with_rank(df.where("label = 0"), key, ["source"], rank="_k"), totals, ["source"])
     mixed = turn.where(f"pos > 0 and _k <= ceil(pos * {mixed_ratio})")
     rest = turn.where("pos = 0")
     need = df.where("label = 1").agg((F.ceil(F.count("*") * ratio)).alias("want")).crossJoin(mixed.agg(F.count("*").alias("have"))).selectExpr("greatest(0, want - have) as need")
@@ -67,7 +79,7 @@ def cell_weights(df: DataFrame) -> DataFrame:
     totals = cells.agg(F.sum("cell").alias("rows"), F.count_distinct("label").alias("labels"))
     table = cells.join(labels, "label").crossJoin(totals)
     table = table.select("source", "label", (F.col("rows") / (F.col("labels") * F.col("sources") * F.col("cell"))).alias("weight"))
-    return df.join(F.broadcast(table), ["source", "label"])
+    return null_safe(df, table, ["source", "label"])
 
 
 def capped_halves(df: DataFrame, key: str, most: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f_beta, ratio
+from .joins import null_safe
 from .metrics import by_score, cumulative
 
 
@@ -17,7 +18,7 @@ def _points(df: DataFrame, keys: list[str]) -> DataFrame:
     merged = counts.unionByName(ends).groupBy(*keys, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     c = cumulative(merged, keys)
-    c = c.join(totals, keys) if keys else c.crossJoin(F.broadcast(totals))
+    c = null_safe(c, totals, keys) if keys else c.crossJoin(F.broadcast(totals))
     tp, fp = F.col("tp"), F.col("fp")
     return c.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, F.col("all_p")), "fpr": ratio(fp, F.col("all_n"))})
 
@@ -77,5 +78,5 @@ def shared_bound(df: DataFrame, most: float, least_negatives: int, keys: list[st
     totals = neg.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least_negatives)
     c = cumulative(by_score(neg, keys), keys).select(*keys, "score", F.col("fp").alias("above"))
     allowed = F.floor(F.lit(most) * F.col("n") + F.lit(1e-12)) + 1
-    per_group = c.join(totals, keys).where(F.col("above") >= allowed).groupBy(*keys).agg(F.max("score").alias("bound"))
+    per_group = null_safe(c, totals, keys).where(F.col("above") >= allowed).groupBy(*keys).agg(F.max("score").alias("bound"))
     return per_group.agg(F.max("bound").alias("bound"), F.count("*").alias("groups"))

@@ -195,6 +195,22 @@ def dihedral_tables() -> tuple[list[list[int]], list[list[int]]]:
     return multiply, rows
 
 
+def synthetic_identity(name: Column, seed: Column) -> Column:
+    """Struct phone, identity, account, upi: made from the seed's digest and false by their own
+    rules (an area code that cannot be given out, a wrong check digit, a reserved account, an
+    address that goes nowhere)."""
+    multiply, permute = dihedral_tables()
+    digits = F.rpad(F.regexp_replace(F.sha2(seed, 256), "[^0-9]", ""), 24, "7")
+    part = lambda a, b: F.substring(digits, a + 1, b - a)
+    wrong = (identity_check(F.concat(part(0, 11), F.lit("0")), multiply, permute) + 5) % 10
+    return F.struct(
+        F.concat(F.lit("+91 0"), part(0, 4), F.lit(" "), part(4, 9)).alias("phone"),
+        F.concat(part(0, 4), F.lit(" "), part(4, 8), F.lit(" "), part(8, 11), wrong.cast("string")).alias("identity"),
+        F.concat(F.lit("0000"), part(11, 17)).alias("account"),
+        F.concat(F.lower(F.element_at(F.split(name, " "), 1)), F.lit("."), part(17, 21), F.lit("@invalid")).alias("upi"),
+    )
+
+
 def redact_output(text: Column, allowed: list[str]) -> Column:
     """Text with identifiers masked, but for the allowed ones."""
     # fixed values: patterns of identifiers and what stands for them, in order

@@ -208,3 +208,38 @@ def test_text_classifier(spark):
     assert vec.norm(2) == pytest.approx(1.0)
     grams = df.limit(1).select(ml.char_ngrams(F.lit("ab cd"), (3,)).alias("g")).first().g
     assert grams == [" ab", "ab ", " cd", "cd "]
+
+
+def test_detector_runs(spark, tmp_path):
+    rows = [(i, f"please pay now urgent {i % 7}" if i % 2 else f"lovely weather today friend {i % 5}", i % 2, "s" + str(i % 2 + i % 4 // 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, label int, source string")
+    fit = lambda rows: ml.fit_detector(rows, 100)
+    scored_rows = fit(df)(df)
+    assert set(scored_rows.columns) == {"id", "text", "label", "source", "score"}
+    reduced = ml.truncated_svd(ml.fit_tfidf(df, 100)(df), 3)(ml.fit_tfidf(df, 100)(df)).first().reduced
+    assert len(reduced) == 3
+    assert ml.ablate(df, ["s1"], {"b": fit, "a": fit}) == "a"
+    out = ml.calibrate_and_select(scored_rows, scored_rows, 0.05, 5, ["source"])
+    assert out["method"] in ("none", "platt") and 0 <= out["bound"] <= 1
+    ml.save_run(spark, str(tmp_path / "run"), None, {"scores": scored_rows}, {"threshold": 0.5})
+    assert '"threshold": 0.5' in spark.read.text(str(tmp_path / "run" / "facts")).first().value
+
+
+def test_frozen_set(spark):
+    person = "conversation_id string, consent_confirmed boolean, pii_redacted boolean, llm_generated boolean, collection_channel string, language_profile array<string>, turns array<struct<speaker_role:string,text:string>>"
+    said = lambda x: [("caller", f"Hello {x}"), ("victim", "yes")]
+    intake = spark.createDataFrame([(c, True, True, False, "lab", ["en"], said(c)) for c in ("ok", "one", "split", "judged", "leak")], person)
+    note = "conversation_id string, annotator_id string, is_scam int, scam_type string, tactics array<string>, stage string, llm_used boolean, evidence_spans array<struct<tactic:string,turn_id:int,text:string>>"
+    notes = [(c, a, y, "x", ["urgency"], "threat", False, [("urgency", 0, "t")]) for c, a, y in (("ok", "a", 1), ("ok", "b", 1), ("one", "a", 1), ("split", "a", 1), ("split", "b", 0), ("judged", "a", 1), ("judged", "b", 0), ("leak", "a", 1), ("leak", "b", 1))]
+    from parley.operators.loaders import transcript
+
+    known = intake.where("conversation_id = 'leak'").select(F.sha2(transcript(F.col("turns")), 256).alias("transcript_sha256"))
+    out = gates.frozen_set(intake, spark.createDataFrame(notes, note), spark.createDataFrame([("judged",)], "conversation_id string"), known, ["lab"], schema.TACTICS)
+    assert {r.conversation_id: r.errors for r in out.collect()} == {"ok": [], "one": ["needs_annotators"], "split": ["needs_adjudication"], "judged": [], "leak": ["leaks"]}
+
+
+def test_ranks_of_a_hot_group(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 50).cast("string"))).alias("source"))
+    got = sampling.with_rank(df, "id", ["source"]).select("id", "source", "rank", "_r")
+    want = got.withColumn("w", F.expr("row_number() over (partition by source order by _r, id)"))
+    assert want.where("w <> rank").isEmpty() and want.count() == 3000

@@ -97,3 +97,8 @@ def test_identity_and_redaction(spark):
     assert got["2363"] == 0 and got["2364"] != 0
     df = spark.createDataFrame([("call +91 98765 43210 or +91 01234 56789, id me@invalid",)], "t string")
     assert df.select(handoff.redact_output(F.col("t"), ["+91 01234 56789"]).alias("x")).first().x == "call [REDACTED_PHONE] or +91 01234 56789, id me@invalid"
+    made = spark.createDataFrame([("Asha Rao", "seed"), ("Asha Rao", "seed"), ("Asha Rao", "other")], "n string, s string").select(handoff.synthetic_identity(F.col("n"), F.col("s")).alias("i"))
+    rows = [r.i for r in made.collect()]
+    assert rows[0] == rows[1] != rows[2] and rows[0].upi.startswith("asha.") and rows[0].upi.endswith("@invalid") and rows[0].account.startswith("0000")
+    sums = made.select(handoff.identity_check(F.replace("i.identity", F.lit(" "), F.lit("")), multiply, permute).alias("c")).collect()
+    assert all(r.c != 0 for r in sums)
