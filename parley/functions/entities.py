@@ -139,7 +139,21 @@ def _named(name: str):
     return lambda text, m: (m[0], name, name)
 
 
-def _rules() -> list[tuple[str, re.Pattern, Callable, float, bool]]:
+# a text without any of these (lower case) has no match of the type, so its pattern is not run
+HINTS = {
+    "url": ("://", "www."), "email": ("@",), "upi_id": ("@",), "monetary_amount": ("₹", "rs", "inr", "rup", "रुप"),
+    "case_reference": ("case", "fir", "complaint", "reference"),
+}
+NAME_HINTS = {
+    "CBI": ("cbi", "central"), "RBI": ("rbi", "reserve"), "Police": ("police", "पुलिस"), "Cyber Crime": ("cyber", "साइबर"), "Customs": ("custom", "कस्टम"),
+    "Enforcement Directorate": ("enforcement", "ईडी", "ed officer"), "Narcotics Bureau": ("narcotic", "ncb", "नारकोटिक्स"), "Supreme Court": ("supreme", "सुप्रीम"),
+    "Income Tax": ("income", "आयकर"), "PhonePe": ("phone",), "Google Pay": ("google", "gpay"), "Paytm": ("paytm",), "BHIM": ("bhim",), "WhatsApp Pay": ("whatsapp",),
+}
+DIGIT = re.compile(r"\d")
+WITH_DIGITS = {"phone_number", "otp_code", "aadhaar_number", "bank_account_candidate", "monetary_amount"}
+
+
+def _rules() -> list[tuple[str, re.Pattern, Callable, float, bool, tuple[str, ...]]]:
     aadhaar_first = lambda around, n: n == 12 and bool(re.search(AADHAAR_NEAR, around))
     table = [
         ("url", URL, _url, 0.98, True), ("email", EMAIL, _email, 0.99, True), ("upi_id", UPI, _upi, 0.99, True),
@@ -149,17 +163,20 @@ def _rules() -> list[tuple[str, re.Pattern, Callable, float, bool]]:
         ("bank_account_candidate", DIGITS, _number(9, 18, ACCOUNT_NEAR, tail, aadhaar_first), 0.82, True),
         *(("monetary_amount", p, _amount, 0.95, False) for p in AMOUNTS),
         ("case_reference", CASE, _case, 0.84, True),
-        *(("authority_organisation", "(?i)" + p, _named(n), 0.90, False) for n, p in AUTHORITIES.items()),
-        *(("payment_app", "(?i)" + p, _named(n), 0.94, False) for n, p in PAYMENT_APPS.items()),
     ]
-    return [(kind, re.compile(p), rule, sure, secret) for kind, p, rule, sure, secret in table]
+    plain = [(kind, re.compile(p), rule, sure, secret, HINTS.get(kind, ())) for kind, p, rule, sure, secret in table]
+    named = [("authority_organisation", n, p, 0.90) for n, p in AUTHORITIES.items()] + [("payment_app", n, p, 0.94) for n, p in PAYMENT_APPS.items()]
+    return plain + [(kind, re.compile("(?i)" + p), _named(n), sure, False, NAME_HINTS[n]) for kind, n, p, sure in named]
 
 
 RULES = _rules()
 
 
 def found(text: str) -> Iterator[Entity]:
-    for kind, pattern, rule, sure, secret in RULES:
+    low, digits = text.lower(), DIGIT.search(text) is not None
+    for kind, pattern, rule, sure, secret, hints in RULES:
+        if hints and not any(h in low for h in hints) or not digits and kind in WITH_DIGITS:
+            continue
         for m in pattern.finditer(text):
             made = rule(text, m)
             if made:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import EDGE
+from .text import WORD
 
 # fixed values: substrings that suggest a tactic
 WEAK_TACTICS = {
@@ -120,12 +121,40 @@ def scam_type(text: Column, category: Column | None = None) -> Column:
 
 
 def bounded(pattern: str) -> str:
-    """A pattern with the package's word boundary for the engine's own."""
-    return "(?iU)" + pattern.replace(r"\b", EDGE)
+    """A pattern for lower-case text. Its boundaries stand before and after ASCII letters or
+    digits, so each needs to look one way only; blanks and digits are those of any script."""
+    inner = pattern.removeprefix(r"\b").removesuffix(r"\b").replace(r"\s", r"[\s\x{85}\p{Z}]").replace(r"\d", r"\p{Nd}")
+    if inner == pattern:
+        return pattern
+    assert r"\b" not in inner
+    return f"(?<!{WORD}){inner}(?!{WORD})"
+
+
+def openings(pattern: str) -> list[str]:
+    """How a match of the pattern can begin: the literal start of each choice in its first group."""
+    body, depth, choices = pattern.removeprefix(r"\b").removeprefix("(?:"), 0, [""]
+    for c in body:
+        if c == ")" and depth == 0:
+            break
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            choices.append("")
+        else:
+            choices[-1] += c
+    starts = [re.match(r"(?:[^\\.?*+()\[](?![?*]))*", c)[0] for c in choices]
+    assert all(starts), pattern
+    return starts
 
 
 def lexical_hits(text: Column) -> dict[str, Column]:
-    return {k: reduce(lambda a, b: a + b, (F.regexp_count(text, F.lit(bounded(p))) for p in ps)) for k, ps in LEXICAL_TACTICS.items()}
+    """Matches by tactic. A pattern runs only on texts that hold one of its openings, which is
+    what most texts do not."""
+    low = F.lower(text)
+
+    def count(pattern: str) -> Column:
+        return F.when(has_any(low, openings(pattern)), F.regexp_count(low, F.lit(bounded(pattern)))).otherwise(0)
+
+    return {k: reduce(lambda a, b: a + b, map(count, ps)) for k, ps in LEXICAL_TACTICS.items()}
 
 
 def stage_progress(hits: dict[str, Column]) -> Column:
@@ -149,11 +178,12 @@ def text_shape(text: Column) -> dict[str, Column]:
     }
 
 
-def risk_features(text: Column, base_score: Column, entities: Column) -> dict[str, Column]:
-    """The fixed row of 30 features; entities is the array that functions.entities extracts."""
+def risk_features(text: Column, base_score: Column, entities: Column, hits: dict[str, Column] | None = None) -> dict[str, Column]:
+    """The fixed row of 30 features; entities is the array that functions.entities extracts.
+    hits, if they are columns already, are not counted again."""
     from .entities import FEATURE_TYPES
 
-    hits = lexical_hits(text)
+    hits = hits or lexical_hits(text)
     shares = {k: F.least(F.lit(5.0), v.cast("double")) / 5 for k, v in hits.items()}
     count = lambda test: F.size(F.filter(entities, test)).cast("double")
     out = {"base_score": base_score} | text_shape(text)

@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from ..functions import hashing
+from ..storage import materialize
 from .graph import connected_components
 
 TOKEN = re.compile(r"[\w\[\]]+")
@@ -36,14 +37,15 @@ def simhash64(texts: pd.Series) -> pd.Series:
 
     def one(text: str | None) -> int:
         tokens = TOKEN.findall((text or "").lower())
-        features = Counter(tokens) + Counter(" ".join(p) for p in zip(tokens, tokens[1:]))
-        if not features:
+        if not tokens:
             return -1
-        hashes = np.array([int.from_bytes(sha256(f.encode()).digest()[:8], "little") for f in features], dtype="<u8")
+        features = Counter(tokens)
+        features.update(map(" ".join, zip(tokens, tokens[1:])))
         # the first eight digest bytes, most significant first
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1, bitorder="little")
-        weight = np.fromiter(features.values(), dtype=np.int64)
-        votes = 2 * (bits * weight[:, None]).sum(axis=0) - weight.sum()
+        digests = b"".join([sha256(f.encode()).digest()[:8] for f in features])
+        bits = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8)[:, ::-1], axis=1, bitorder="little")
+        weight = np.fromiter(features.values(), dtype=np.float64, count=len(features))
+        votes = 2 * (weight @ bits.astype(np.float64)) - weight.sum()
         return int(np.packbits(votes >= 0, bitorder="little").view("<i8")[0])
 
     return texts.map(one)
@@ -59,7 +61,7 @@ def near_pairs(df: DataFrame, block: list[str], ident: str = "id", fp: str = "fp
     intact = bands - radius
     assert intact >= 1
     width = 64 // bands
-    reps = df.groupBy(*block, fp).agg(F.min(ident).alias("id"))
+    reps = materialize(df.groupBy(*block, fp).agg(F.min(ident).alias("id")), "representatives")
     keys = []
     for n, chosen in enumerate(combinations(range(bands), intact)):
         value = F.lit(n)

@@ -42,7 +42,9 @@ def detect(df: DataFrame, score: Score, threshold: float, policy: Policy = Polic
     used, limit, source = F.lit(False), F.lit(threshold), F.lit("base_detector")
     if fusion is not None:
         fuse, fused_threshold, status = fusion
-        featured = rows.withColumns(signals.risk_features(F.col("text"), F.col("base_score"), F.col("found")))
+        rows = rows.withColumns({f"_{k}": v for k, v in signals.lexical_hits(F.col("text")).items()})
+        hits = {k: F.col(f"_{k}") for k in signals.LEXICAL_TACTICS}
+        featured = rows.withColumns(signals.risk_features(F.col("text"), F.col("base_score"), F.col("found"), hits))
         rows = fuse(featured.drop("score")).withColumnRenamed("score", "fusion_score")
         if status == "eligible" or policy.allow_research_fusion:
             used, limit, source = F.lit(True), F.lit(fused_threshold), F.lit("risk_fusion")

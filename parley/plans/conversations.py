@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entities, hashing, signals, text
 from ..operators import dedup, gates, metrics, sequence, views
+from ..storage import materialize
 from .registry import Tables, query
 
 LINE_SQL = r"'[ROLE=' || replace(lower(trim(role)), ' ', '_') || '] ' || trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -116,7 +117,7 @@ grouped AS (SELECT e.doc_id AS id, x.root FROM every e JOIN reps USING (source,
 
 @query(GROUPS_SQL + "SELECT id, root FROM grouped")
 def dup_components(t: Tables) -> DataFrame:
-    prints = doc_prints(t)
+    prints = materialize(doc_prints(t), "prints")
     return dedup.groups_of(prints, dedup.near_pairs(prints, ["source"]), ["source"])
 
 
@@ -256,8 +257,8 @@ def scam_types(t: Tables) -> DataFrame:
 def lexical_tactics(t: Tables) -> DataFrame:
     """Word-bounded hits and the stage they tell; the boundary needs lookaround, which the SQL
     engine lacks, so this is tested against Python."""
-    hits = signals.lexical_hits(F.col("text"))
-    return t.documents.select("doc_id", *(v.cast("long").alias(k) for k, v in hits.items()), signals.stage_progress(hits).alias("stage_progress"))
+    counted = t.documents.select("doc_id", *(v.cast("long").alias(k) for k, v in signals.lexical_hits(F.col("text")).items()))
+    return counted.withColumn("stage_progress", signals.stage_progress({k: F.col(k) for k in signals.LEXICAL_TACTICS}))
 
 
 @query()
@@ -275,8 +276,9 @@ def entity_counts(t: Tables) -> DataFrame:
 
 @query()
 def risk_features(t: Tables) -> DataFrame:
-    found = t.documents.select("doc_id", "text", entities.extract(F.col("text")).alias("e"))
-    row = signals.risk_features(F.col("text"), hashing.unit32(F.col("doc_id").cast("string"), "17"), F.col("e"))
+    hits = {k: v.alias(f"_{k}") for k, v in signals.lexical_hits(F.col("text")).items()}
+    found = t.documents.select("doc_id", "text", entities.extract(F.col("text")).alias("e"), *hits.values())
+    row = signals.risk_features(F.col("text"), hashing.unit32(F.col("doc_id").cast("string"), "17"), F.col("e"), {k: F.col(f"_{k}") for k in hits})
     return found.select("doc_id", *(v.alias(k) for k, v in row.items()))
 
 
