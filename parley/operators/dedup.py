@@ -27,6 +27,7 @@ def first_of_equals(df: DataFrame, key: Column, ident: str) -> DataFrame:
     The groups are aggregated before the shuffle, and only groups of several rows are joined."""
     keyed = df.withColumn("_key", key)
     groups = keyed.groupBy("_key").agg(F.min(ident).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    groups = materialize(groups, "copies")  # so that the join deals both sides anew and a hot group can be split
     return keyed.join(groups, "_key", "left").withColumn("duplicate_of", F.when(F.col("_first") != F.col(ident), F.col("_first"))).drop("_key", "_first")
 
 

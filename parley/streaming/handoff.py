@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.hashing import hmac_sha256
+from ..operators.joins import null_safe
 
 # fixed values: what is signed, in order (the decision is part of it)
 SIGNED = ["event_id", "conversation_id", "issued_at", "scam_score", "threshold", "detector_status", "production_eligible", "decision_source", "is_scam"]
@@ -168,13 +170,21 @@ def append_unseen(batch: DataFrame, path: str, key: str) -> None:
 
 
 def user_sessions(events: DataFrame, gap_s: int = 1800) -> DataFrame:
-    """Sessions of a user: events less than the gap apart. One exchange on the user."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.coalesce((micros(F.col("ts")) - micros(F.lag("ts").over(w)) > gap_s * 1_000_000).cast("int"), F.lit(1))
-    marked = events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w))
-    return marked.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    """Sessions of a user: events at most the gap apart. Order is found within a user's days and
+    carried over the days, so a user with a third of all events is no single task."""
+    day = ["user_id", "_day"]
+    w = W.partitionBy(*day).orderBy("ts", "event_id")
+    over_days = W.partitionBy("user_id").orderBy("_day")
+    placed = events.withColumn("_day", F.to_date("ts"))
+    days = placed.groupBy(*day).agg(F.max("ts").alias("_last")).select(*day, F.lag("_last").over(over_days).alias("_before"))
+    joined = null_safe(placed, days, day)
+    gap = micros(F.col("ts")) - micros(F.coalesce(F.lag("ts").over(w), F.col("_before")))
+    marked = joined.withColumn("_new", F.coalesce((gap > gap_s * 1_000_000).cast("int"), F.lit(1))).withColumn("_own", F.sum("_new").over(w))
+    starts = marked.groupBy(*day).agg(F.sum("_new").alias("_starts"))
+    earlier = F.sum("_starts").over(over_days.rowsBetween(W.unboundedPreceding, -1))
+    bases = starts.select(*day, F.coalesce(earlier, F.lit(0)).alias("_base"))
+    numbered = null_safe(marked, bases, day).withColumn("session", F.col("_base") + F.col("_own"))
+    return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def identity_check(digits: Column, multiply: list[list[int]], permute: list[list[int]]) -> Column:
