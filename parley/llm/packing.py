@@ -63,7 +63,7 @@ class WordTokenizer:
                     if n:
                         ids = self[word[:n]] + self[word[n:]]
                     else:
-                        ids = array("I", encode([word.decode()], add_special_tokens=False)[0].ids).tobytes()
+                        ids = array("I", encode([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
                 self[word] = ids
                 return ids
 
