@@ -300,6 +300,18 @@ def orphans(t: Tables) -> DataFrame:
     return gates.orphans(child, t.conversations.where("conv_id < 5"), "conv_id").select("doc_id")
 
 
+@query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
+def label_orphans(t: Tables) -> DataFrame:
+    """Labels of no document."""
+    return gates.orphans(t.labels, t.documents, "doc_id").select("doc_id")
+
+
+@query("SELECT c.conv_id, c.turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = 0)")
+def turn_orphans(t: Tables) -> DataFrame:
+    """Turns of a conversation that has no opening turn."""
+    return gates.orphans(t.conversations, t.conversations.where("turn = 0"), "conv_id").select("conv_id", "turn")
+
+
 @query("""SELECT doc_id, 'left' AS only_in FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL
 SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)""")
 def set_checks(t: Tables) -> DataFrame:
