@@ -190,7 +190,7 @@ def ablate(df: DataFrame, sources: list[str], variants: dict[str, Callable[[Data
 
 
 def calibrate_and_select(calibration: DataFrame, selection: DataFrame, most_fpr: float, least_negatives: int, keys: list[str]) -> dict:
-    """Of no calibration and Platt's, the one of the lower Brier score on the selection rows, and
+    """For one seed, of no calibration and Platt's, the one of the lower Brier score on the selection rows, and
     the bound that calibrated scores must exceed there."""
     from .metrics import brier
     from .thresholds import shared_bound
@@ -203,6 +203,40 @@ def calibrate_and_select(calibration: DataFrame, selection: DataFrame, most_fpr:
     return best
 
 
+def select_calibration(runs: list[tuple[DataFrame, DataFrame]], most_fpr: float, least_negatives: int, keys: list[str], methods: tuple[str, ...] = ("none", "platt", "isotonic")) -> dict:
+    """The calibration for all seeds: runs holds each seed's calibration and selection rows.
+
+    A method is eligible if some bound below 1 keeps every group of enough negatives within its
+    FPR for every seed; of those the one of the highest mean recall above its bound wins, then of
+    the highest least recall of a seed, then of the lowest mean Brier score, then Platt's."""
+    from .metrics import brier
+    from .thresholds import shared_bound
+
+    def calibrated(method: str, fitted: DataFrame, rows: DataFrame) -> DataFrame:
+        if method == "isotonic":
+            return calibrated_isotonic(isotonic(fitted), rows).withColumn("score", F.col("calibrated")).drop("calibrated")
+        return rows.withColumn("score", platt(fitted)(F.col("score"))) if method == "platt" else rows
+
+    eligible = []
+    for method in methods:
+        rows = None
+        for seed, (fitted, selection) in enumerate(runs):
+            made = calibrated(method, fitted, selection).withColumn("seed", F.lit(seed))
+            rows = made if rows is None else rows.unionByName(made)
+        bound = shared_bound(rows, most_fpr, least_negatives, ["seed", *keys]).first()["bound"]
+        if bound is None:
+            raise ValueError("no group has enough negatives for the FPR gate")
+        if bound >= 1:
+            continue
+        recall = F.avg(F.when(F.col("label") == 1, (F.col("score") > bound).cast("double"))).alias("recall")
+        seeds = rows.groupBy("seed").agg(recall, brier().alias("brier")).collect()
+        mean = lambda name: sum(r[name] for r in seeds) / len(seeds)
+        eligible.append({"method": method, "bound": bound, "recall": mean("recall"), "least_recall": min(r["recall"] for r in seeds), "brier": mean("brier")})
+    if not eligible:
+        raise RuntimeError("no calibration satisfies the shared FPR gate")
+    return max(eligible, key=lambda m: (m["recall"], m["least_recall"], -m["brier"], m["method"] == "platt"))
+
+
 def choose_family(runs: list[dict]) -> str:
     """Candidates by name; a later one wins if its recall gains more than the pooled spread,
     and within the spread by lower latency, then macro F1, then bytes."""
