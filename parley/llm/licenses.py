@@ -38,6 +38,20 @@ SENTENCES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2.notice",
     "all rights reserved": "reserved.notice",
 }
+# fixed values: the sentences of the licences' own texts where they go on further, likewise normalised
+CANONICAL = {
+    "licensed under the apache license version 2 0 the license": "apache2.notice",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit.grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit.asis",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl.grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl.grant,gpl3.later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl.grant,gpl2.later",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd.source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd.binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd3.names",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
+}
 # fixed values: a rule holds where its identifiers occur in this order, others between them
 RULES = [
     ("Apache-2.0", ["apache2.notice"]),
@@ -58,18 +72,20 @@ RULES = [
     ("MPL-2.0", ["mpl2.notice"]),
     ("LicenseRef-all-rights-reserved", ["reserved.notice"]),
 ]
-# a sentence ends at a line end, or at one of these marks before white space
+# a piece ends at a line end, or at one of these marks before white space; a sentence is a piece
+# or several in a row, as texts are wrapped and sentences hold marks ("v. 2.0", "software: you")
 SPLIT = r"[.!?;:]+\s+|\n+"
-HINT = r"(?i)licen[sc]|copyright|warrant|redistribut|permission|free software|all rights|unencumbered|written|any later version|endorse"
+HINT = r"(?i)licen[sc]|copyright|warrant|redistribut|permission|free[^a-z0-9]+software|all[^a-z0-9]+rights|unencumbered|written|any[^a-z0-9]+later[^a-z0-9]+version|endorse"
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
-    least = min(map(len, SENTENCES))
-    plain = F.transform(F.split(text, SPLIT), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    ids = F.transform(F.filter(plain, lambda s: F.length(s) >= least), lambda s: known[s])
-    return F.when(text.rlike(HINT), F.filter(ids, lambda x: x.isNotNull()))
+    cut = F.regexp_replace(F.lower(F.regexp_replace(text, SPLIT, "|\n")), "[^a-z0-9\n]+", " ")
+    line = F.concat(F.lit("|"), F.trim(F.regexp_replace(cut, " *\n[ \n]*", "|")), F.lit("|"))
+    for sentence, ids in sorted((SENTENCES | CANONICAL).items(), key=lambda x: (-len(x[0]), x[0])):
+        found = "|" + "|".join("#" + i for i in ids.split(","))
+        line = F.regexp_replace(line, r"\|" + sentence.replace(" ", "[ |]") + r"(?=\|)", found)
+    return F.when(text.rlike(HINT), F.regexp_extract_all(line, F.lit(r"\|#([^|]+)"), F.lit(1)))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -77,7 +93,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     both comma-joined, the latter in the order of RULES without repeats; a longer BSD rule
     hides the shorter one.
 
-    HINT names words of which every known sentence has one, so texts without them are not
+    Sentences are found wrapped as well as on one line. HINT names words of which every known sentence has one, so texts without them are not
     split. Null and empty texts hold nothing; a repeated row is reported each time; an empty
     table gives an empty result.
     """
