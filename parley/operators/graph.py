@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: a long, b long (no nulls; self loops and repeats are ignored). Returns node, root
     for every node that has a link to another node; root is the smallest node of the
-    component. Every step is an aggregate with map-side combining and a join that AQE may
-    split; nothing is gathered per node, so a hub with a third of all links is no hot task.
+    component. Least neighbours are aggregated map-side and stored before they are joined, so
+    neither side of a join rests on the aggregate's partitioning and AQE can split a hub with a
+    third of all links; nothing is gathered per node.
     """
     pairs = materialize(
         edges.where("a <> b")
@@ -24,12 +25,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     state = None
     for _ in range(max_rounds):
+        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if state == now or not now["n"]:
+            break
+        state = now
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = materialize(
+            both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
         )
-        star = large.groupBy("u").agg(F.min("v").alias("m"))
+        star = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "star")
         moved = large.join(star, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = materialize(
             moved.unionByName(star.select("u", F.col("m").alias("v")))
@@ -38,12 +43,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct(),
             "links",
         )
-        discard(pairs)
+        for table in (pairs, low, large, star):
+            discard(table)
         pairs = step
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == now:
-            break
-        state = now
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
