@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, tie lo
 
 
 MARKS = b".,;:!?%#*&$()"
+ENTRY_BYTES = 200  # of a cached word beside its bytes: two byte strings' heads and a place in a dict
 
 
 def stem_length(word: bytes) -> int:
@@ -40,42 +43,95 @@ def tokenizer_here(path: str) -> WordTokenizer:
     return kept[path]
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    bytes for themselves, the others by letters from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+WORD_END, MARK = "</w>", b"\xff"  # a word's end in the vocabulary, and as a byte no UTF-8 text holds
+
+
+def merge_table(model: dict) -> dict[bytes, int] | None:
+    """Ids by bytes for a byte-level BPE vocabulary with marked word ends whose merges stand in
+    the order of their ids, or None for any other model. Merging the pair of the least joint id
+    then gives the tokenizer's ids: a joint has one merge, and bytes within a span merge alike
+    with and without what surrounds it."""
+    vocab, merges, letter = model.get("vocab"), model.get("merges"), byte_letters()
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or model.get("dropout") or model.get("byte_fallback"):
+        return None
+    joint = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in merges]
+    if None in joint or joint != sorted(set(joint)) or joint[0] < 512:
+        return None
+    table = {}
+    for token, i in vocab.items():
+        core = token.removesuffix(WORD_END)
+        if i < joint[0] or i in range(joint[0], joint[-1] + 1):
+            if not all(c in letter for c in core):
+                return None
+            table[bytes(letter[c] for c in core) + (MARK if core != token else b"")] = i
+    single = all(bytes([b]) in table and bytes([b]) + MARK in table for b in range(255))
+    return table | {MARK: max(vocab.values()) + 1} if single and len(table) == len(joint) + 512 else None
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's ids are the ids
-    of its words in order. Words are looked up in a bounded cache of two halves: a full half
-    becomes the older one, so frequent words stay. Marks that end a word are a token group of
-    their own for the tokenizer and are looked up apart (see stem_length).
+    of its words in order. It folds case by itself, so words are looked up in lower case, but
+    not in texts that hold the lower-case form of an added token, which only its own spelling
+    names. Words are looked up in a cache of two halves: a half that has reached its bytes
+    becomes the older one, so frequent words stay; long words are not cached. Marks that end a
+    word are a token group of their own for the tokenizer and are looked up apart (see
+    stem_length). Words of Latin, Greek or Cyrillic letters are one group each and are merged
+    by merge_table; all others go through the tokenizer itself.
     """
 
-    def __init__(self, path: str, cache_words: int = 1_000_000):
+    def __init__(self, path: str, cache_bytes: int = 48 << 20, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        encode, older = Tokenizer.from_file(path).encode_batch_fast, {}
+        model = Tokenizer.from_file(path)
+        encode, older, half, spent = model.encode_batch_fast, {}, cache_bytes // 2, [0]
+        self.added = [t.content.lower().encode() for t in model.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            table = merge_table(json.load(f)["model"])
+        merged = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece if table else None
+
+        def ids_of(word: bytes) -> bytes:
+            text = word.decode("utf-8", "replace")
+            if merged and len(word) <= longest:
+                low = text.lower() if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+                if low.isalpha() and max(low) < "\u0500":
+                    return array("I", merged(low.encode() + MARK)).tobytes()
+            return array("I", encode([text], add_special_tokens=False)[0].ids).tobytes()
 
         class Words(dict):
             def __missing__(self, word: bytes) -> bytes:
                 ids = older.get(word)
                 if ids is None:
                     n = stem_length(word)
-                    if n:
-                        ids = self[word[:n]] + self[word[n:]]
-                    else:
-                        ids = array("I", encode([word.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
-                self[word] = ids
+                    ids = self[word[:n]] + self[word[n:]] if n else ids_of(word)
+                if len(word) <= longest:
+                    spent[0] += len(word) + len(ids) + ENTRY_BYTES
+                    if spent[0] > half:
+                        older.clear()
+                        older.update(self)
+                        self.clear()
+                        spent[0] = 0
+                    self[word] = ids
                 return ids
 
-        self.words, self.older, self.half = Words(), older, cache_words // 2
+        self.words, self.older = Words(), older
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > self.half:
-            self.older.clear()
-            self.older.update(self.words)
-            self.words.clear()
-        get = self.words.__getitem__
-        return [b"".join(map(get, t.lower().split())) for t in texts]
+    def encode(self, text: bytes) -> bytes:
+        low = text.lower()
+        if any(t in low for t in self.added):
+            low = text
+        return b"".join(map(self.words.__getitem__, low.split()))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0) -> DataFrame:
@@ -88,9 +144,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 rows = ([], [], [], [], [], [])
-                texts = [t.as_py() or b"" for t in b.column(1).cast(pa.large_binary())]
-                for doc, tie, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), model.encode(texts)):
-                    ids += end
+                for doc, tie, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).cast(pa.large_binary())):
+                    ids = model.encode(text.as_py() or b"") + end
                     for piece, lo in enumerate(range(0, len(ids), 4 * limit)):
                         part = ids[lo : lo + 4 * limit]
                         for col, v in zip(rows, (doc, piece, lo // 4, len(part) // 4, zlib.crc32(part), tie)):
@@ -101,113 +156,107 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"), F.xxhash64("text").alias("tie")).mapInArrow(run, PIECES)
 
 
-def length_patterns(histogram: dict[int, int], limit: int, most: int = 8_000) -> list[tuple[int, ...]]:
-    """Multisets of up to three present lengths that fill a sequence, or nearly so.
+def length_patterns(rest: np.ndarray, limit: int, waste: int, most: int) -> list[tuple[int, ...]]:
+    """The `most` patterns that explain most of `rest` (what is left of each length's count).
 
-    Full pieces alone; of every length the longest partner that fits, and of every pair of
-    lengths the third that fills up best; at most `most` patterns, the fullest first."""
-    lengths = np.array(sorted(histogram), dtype=np.int64)
-    found: dict[tuple[int, ...], int] = {}
-    fits = np.full(limit + 1, -1, dtype=np.int64)  # the longest present length of at most that many
+    A pattern is a multiset of up to three present lengths that fills a sequence but for `waste`
+    ids: a full piece, a length with its longest partner, or any pair of lengths with the
+    longest third. Every pair is looked at, a block of the table of pairs at a time."""
+    lengths = np.flatnonzero(rest)
+    fits = np.zeros(limit + 1, dtype=np.int64)  # the longest present length of at most that many, or 0
     fits[lengths] = lengths
     fits = np.maximum.accumulate(fits)
-    for a in lengths.tolist():
-        room = limit - a
-        b = int(fits[room]) if room > 0 else -1
-        p = (a,) if b < 0 else (a, b) if a >= b else (b, a)
-        found[p] = sum(p)
-    step = max(1, int(len(lengths) ** 2 // 2 // (2 * most)))
-    pairs = 0
-    for i, a in enumerate(lengths.tolist()):
-        for b in lengths[: i + 1].tolist():
-            room = limit - a - b
-            if room <= 0:
-                break
-            pairs += 1
-            if pairs % step:
-                continue
-            c = int(fits[min(room, b)])
-            if c > 0 and a + b + c >= limit - 1:
-                found[(a, b, c)] = a + b + c
-    return sorted(found, key=lambda p: (-found[p], p))[:most]
-
-
-def non_negative_counts(patterns: list[tuple[int, ...]], histogram: dict[int, int], sweeps: int = 30) -> list[float]:
-    """Repeat counts x >= 0 that minimise |A x - h| (column j of A counts the lengths of
-    pattern j), by cyclic coordinate descent: exact in each coordinate, non-negative
-    throughout."""
-    rest = {n: float(c) for n, c in histogram.items()}
-    columns = []
-    for p in patterns:
-        col: dict[int, int] = {}
-        for n in p:
-            col[n] = col.get(n, 0) + 1
-        columns.append((list(col.items()), sum(v * v for v in col.values())))
-    x = [0.0] * len(patterns)
-    total = max(1.0, float(sum(histogram.values())))
-    for _ in range(sweeps):
-        moved = 0.0
-        for j, (col, norm) in enumerate(columns):
-            g = 0.0
-            for n, v in col:
-                g += v * rest[n]
-            step = max(-x[j], g / norm)
-            if step:
-                x[j] += step
-                for n, v in col:
-                    rest[n] -= v * step
-                moved += abs(step)
-        if moved < 1e-4 * total:
+    value = rest.copy()
+    value[0] = 0.0
+    best: list[tuple[float, tuple[int, ...]]] = []
+
+    def add(parts: np.ndarray) -> None:
+        total = parts.sum(axis=1)
+        parts = parts[(total <= limit) & (total >= limit - waste)]
+        gain = value[parts].sum(axis=1)
+        parts, gain = parts[gain > 0], gain[gain > 0]
+        order = np.lexsort((*parts.T, -gain))[:most]
+        best.extend((g, tuple(sorted((n for n in p if n), reverse=True))) for g, p in zip(gain[order].tolist(), parts[order].tolist()))
+        best.sort(key=lambda x: (-x[0], x[1]))
+        del best[most:]
+
+    alone = np.stack([lengths, fits[limit - lengths], np.zeros_like(lengths)], axis=1)
+    add(alone)
+    for lo in range(0, len(lengths), 128):
+        a = np.repeat(lengths[lo : lo + 128], len(lengths))
+        b = np.tile(lengths, len(lengths[lo : lo + 128]))
+        a, b = a[(b <= a) & (a + b < limit)], b[(b <= a) & (a + b < limit)]
+        c = fits[np.minimum(limit - a - b, b)]
+        add(np.stack([a, b, c], axis=1)[c > 0])
+    return list(dict.fromkeys(p for _, p in best))
+
+
+def fitted_counts(histogram: np.ndarray, limit: int, waste: int, rounds: int = 8, each: int = 2000, sweeps: int = 4) -> list[tuple[tuple[int, ...], float]]:
+    """Patterns with repeat counts x >= 0 that lower |A x - h| (column j of A counts the lengths
+    of pattern j): non-negative least squares by cyclic coordinate descent over a growing set
+    of patterns, to which each round adds the `each` that explain most of what is left."""
+    rest = histogram.astype(float)
+    columns: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]] = {}
+    x: dict[tuple[int, ...], float] = {}
+    left = rest.tolist()
+    for _ in range(rounds):
+        there = np.where(histogram > 0, np.array(left), 0.0)
+        there[(histogram > 0) & (there == 0.0)] = -1e-9  # a length that is used up is still present
+        new = [p for p in length_patterns(there, limit, waste, each) if p not in x]
+        for p in new:
+            columns[p] = [(n, p.count(n)) for n in set(p)]
+            x[p] = 0.0
+        for _ in range(sweeps):
+            for p, column in columns.items():
+                step = max(-x[p], sum(v * left[n] for n, v in column) / sum(v * v for _, v in column))
+                if step:
+                    x[p] += step
+                    for n, v in column:
+                        left[n] -= v * step
+        if not new:
             break
-    return x
+    return list(x.items())
 
 
-def packing_plan(histogram: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:
+def packing_plan(histogram: dict[int, int], limit: int, waste: int | None = None) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats) pairs that use every piece exactly once.
 
-    The fitted counts are rounded and held to the pieces that are left; what is left over is
+    Patterns leave at most `waste` ids of a sequence empty (limit / 256 unless given). Their
+    fitted counts are rounded down and held to the pieces that are left; what is left over is
     packed best-fit, longest first, one pattern for as many repeats as its lengths allow. The
     steps depend on the number of distinct lengths (at most `limit`), not on the documents."""
-    left = dict(histogram)
+    waste = limit // 256 if waste is None else waste
+    stock = np.zeros(limit + 1, dtype=np.int64)
+    for n, c in histogram.items():
+        stock[n] = c
     plan: list[tuple[tuple[int, ...], int]] = []
 
-    def most(p: tuple[int, ...]) -> int:
-        return min(left.get(n, 0) // p.count(n) for n in set(p))
-
     def take(p: tuple[int, ...], k: int) -> None:
-        plan.append((p, k))
-        for n in p:
-            left[n] -= k
-
-    patterns = length_patterns(histogram, limit)
-    for p, x in sorted(zip(patterns, non_negative_counts(patterns, histogram)), key=lambda t: (-sum(t[0]), t[0])):
-        if sum(p) >= limit - 2 and (k := min(int(x + 0.5), most(p))) > 0:
-            take(p, k)
-    stock = np.zeros(limit + 1, dtype=np.int64)
-    for n, c in left.items():
-        stock[n] = c
+        k = min(k, *(int(stock[n]) // p.count(n) for n in set(p)))
+        if k > 0:
+            plan.append((p, k))
+            for n in p:
+                stock[n] -= k
+
+    for p, x in sorted(fitted_counts(stock, limit, waste), key=lambda t: (-sum(t[0]), -t[1], t[0])):
+        take(p, int(x + 1e-6))
     high = limit
     while True:
         while high > 0 and stock[high] == 0:
             high -= 1
         if high <= 0:
             break
-        p, room = [high], limit - high
-        stock[high] -= 1
+        p, room, free = [high], limit - high, stock.copy()
+        free[high] -= 1
         while room > 0:
-            there = np.flatnonzero(stock[1 : room + 1])
+            there = np.flatnonzero(free[1 : room + 1])
             if not len(there):
                 break
             n = int(there[-1]) + 1
             p.append(n)
-            stock[n] -= 1
+            free[n] -= 1
             room -= n
-        for n in p:
-            stock[n] += 1
-        k = int(min(stock[n] // p.count(n) for n in set(p)))
-        plan.append((tuple(p), k))
-        for n in p:
-            stock[n] -= k
+        take(tuple(p), int(stock[high]))
     return plan
 
 
