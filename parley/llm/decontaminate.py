@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -9,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, without_rows
 
-HITS = "doc_id long, item_id long, distance int, budget int, first_char long, end_char long"
+HITS = "doc_id long, tie long, item_id long, distance int, budget int, first_char long, end_char long"
 
 
 def normalize(text: str) -> str:
@@ -67,10 +69,12 @@ def match_start(pattern: str, text: str, end: int, distance: int) -> int:
 
 
 class Matcher:
-    """Finds items of one block in texts."""
+    """Finds items of one block in texts. Items of fewer than `short` characters are looked for
+    verbatim and as whole words."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items = [(i, t, int(len(t) * rate)) for i, t in items]
+    def __init__(self, items: list[tuple[int, str]], rate: float, short: int):
+        self.items = [(i, t, int(len(t) * rate) if len(t) >= short else 0) for i, t in items]
+        self.short = short
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
@@ -89,6 +93,10 @@ class Matcher:
         out = []
         for k, places in starts.items():
             item, t, budget = self.items[k]
+            if len(t) < self.short:
+                whole = [s for s in sorted(places) if not text[max(0, s - 1) : s].isalnum() and not text[s + len(t) : s + len(t) + 1].isalnum()]
+                out += [(item, 0, 0, s, s + len(t)) for s in whole[:1]]
+                continue
             best = None
             spans: list[list[int]] = []
             for s in sorted(places):
@@ -109,51 +117,73 @@ class Matcher:
         return out
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least_chars: int = 40, block_chars: int = 1 << 20) -> DataFrame:
-    """doc_id, item_id, distance, budget, first_char, end_char: one row for each document and
-    item it holds within int(rate * length) edits, at the place of least distance (the first of
-    equals, in characters of the lower-cased text with single spaces).
-
-    Items are a stated query set that is read in blocks of at most `block_chars` characters,
-    each block's automaton going to the scan in its task; so memory does not grow with the
-    benchmark, and documents never move. Items shorter than `least_chars` after normalising
-    (null and empty ones too) name no passage and find nothing. Null texts hold nothing; rows
+def packed_blocks(benchmark: DataFrame, block_chars: int) -> list[bytes]:
+    """The normalised items in compressed blocks of at most `block_chars` characters (or one
+    longer item). Items without a word are left out."""
+    blocks, held, size = [], [], 0
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
+        t = normalize(r["text"] or "")
+        if held and size + len(t) > block_chars:
+            blocks.append(zlib.compress(json.dumps(held).encode()))
+            held, size = [], 0
+        if t:
+            held.append((r["item_id"], t))
+            size += len(t)
+    if held:
+        blocks.append(zlib.compress(json.dumps(held).encode()))
+    return blocks
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, short: int = 40, block_chars: int = 1 << 20, chunk_chars: int = 16 << 20) -> DataFrame:
+    """doc_id, tie (XXH64 of the text), item_id, distance, budget, first_char, end_char: one row
+    for each document and item it holds within int(rate * length) edits, at the place of least
+    distance (the first of equals, in characters of the lower-cased text with single spaces).
+    Items of fewer than `short` characters count where they stand verbatim as whole words, at
+    the first such place.
+
+    Items are a stated query set. It is packed in compressed blocks of at most `block_chars`
+    characters that go to the workers as one broadcast, about a third of the benchmark's size;
+    a task reads and normalises each document once and holds one block's automaton at a time,
+    which several blocks build for every `chunk_chars` of text. Documents never move. Null and
+    empty items name nothing; null texts hold nothing; very long texts are searched whole; rows
     without a doc_id are reported with a null; repeated rows are reported each; repeated items
     likewise; empty tables give an empty result.
     """
-    blocks: list[list[tuple[int, str]]] = [[]]
-    held = 0
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator():
-        t = normalize(r["text"] or "")
-        if len(t) < least_chars:
-            continue
-        if held + len(t) > block_chars:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], t))
-        held += len(t)
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-    def search(items: list[tuple[int, str]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(items, rate)
-            for b in batches:
-                rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    rows += [(doc, *hit) for hit in matcher.search(normalize(text.as_py() or ""))]
-                columns = list(zip(*rows)) or [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in HITS.split(", ")])
-
-        return source.mapInArrow(run, HITS) if items else source.sparkSession.createDataFrame([], HITS)
-
-    found = search(blocks[0])
-    for items in blocks[1:]:
-        found = found.unionByName(search(items))
-    return found
+    blocks = packed_blocks(benchmark, block_chars)
+    spark = docs.sparkSession
+    if not blocks:
+        return spark.createDataFrame([], HITS)
+    shared = spark.sparkContext.broadcast(blocks)
+    names, kinds = [x.split()[0] for x in HITS.split(", ")], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = shared.value
+        matchers = lambda: (Matcher([tuple(x) for x in json.loads(zlib.decompress(b))], rate, short) for b in packed)
+        only = next(matchers()) if len(packed) == 1 else None
+
+        def found(held: list[tuple[int | None, int, str]]) -> pa.RecordBatch:
+            rows = [(doc, tie, *hit) for matcher in ([only] if only else matchers()) for doc, tie, text in held for hit in matcher.search(text)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=names)
+
+        held, size = [], 0
+        for b in batches:
+            for doc, tie, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                held.append((doc, tie, normalize(text.as_py() or "")))
+                size += len(held[-1][2])
+                if size >= (1 << 20 if only else chunk_chars):
+                    yield found(held)
+                    held, size = [], 0
+        yield found(held)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(run, HITS)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The rows of docs that hold no benchmark item; rows without a doc_id stay."""
-    hits = materialize(benchmark_hits(docs, benchmark, **params).where("doc_id is not null").select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that hold no benchmark item, with all their columns.
+
+    Rows are judged each by its own text, those with null or shared ids too; null and empty
+    texts stay, very long ones are searched whole, of repeated rows all go or stay; an empty
+    table gives an empty result."""
+    hits = materialize(benchmark_hits(docs, benchmark, **params).select("doc_id", "tie").distinct(), "hits")
+    return without_rows(docs, hits)

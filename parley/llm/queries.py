@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, exact, licenses, packing, secrets, sharding, simhash, suffix, toxicity, warc
 from .oracles import oracle_sql as oracle_sql
+from .shared import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)  # what a Python worker holds of a result that is computed after the operator returned
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,7 +56,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tie")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
