@@ -75,17 +75,28 @@ RULES = [
 # a piece ends at a line end, or at one of these marks before white space; a sentence is a piece
 # or several in a row, as texts are wrapped and sentences hold marks ("v. 2.0", "software: you")
 SPLIT = r"[.!?;:]+\s+|\n+"
-HINT = r"(?i)licen[sc]|copyright|warrant|redistribut|permission|free[^a-z0-9]+software|all[^a-z0-9]+rights|unencumbered|written|any[^a-z0-9]+later[^a-z0-9]+version|endorse"
+OTHERS, LINE_ENDS = "[^a-z0-9\n]+", " *\n[ \n]*"
+# in normalised text: of these, every known sentence has one
+HINT = "licen[sc]|copyright|warrant|redistribut|permission|free[ |]+software|all[ |]+rights|unencumbered|written|any[ |]+later|endorse"
 
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order."""
-    cut = F.regexp_replace(F.lower(F.regexp_replace(text, SPLIT, "|\n")), "[^a-z0-9\n]+", " ")
-    line = F.concat(F.lit("|"), F.trim(F.regexp_replace(cut, " *\n[ \n]*", "|")), F.lit("|"))
+def sentence_steps() -> list[tuple[str, str]]:
+    """Patterns of the known sentences, longest first, each with what takes its place in a line
+    of pieces between pairs of bars: its identifiers, each behind a # between bars."""
+    steps = []
     for sentence, ids in sorted((SENTENCES | CANONICAL).items(), key=lambda x: (-len(x[0]), x[0])):
-        found = "|" + "|".join("#" + i for i in ids.split(","))
-        line = F.regexp_replace(line, r"\|" + sentence.replace(" ", "[ |]") + r"(?=\|)", found)
-    return F.when(text.rlike(HINT), F.regexp_extract_all(line, F.lit(r"\|#([^|]+)"), F.lit(1)))
+        steps.append((r"\|" + sentence.replace(" ", r"(?: |\|\|)") + r"\|", "".join(f"|#{i}|" for i in ids.split(","))))
+    return steps
+
+
+def sentence_ids(text: Column) -> Column:
+    """The identifiers of the known sentences of a text, in order; null where HINT finds none."""
+    cut = F.regexp_replace(F.lower(F.regexp_replace(text, SPLIT, "|\n")), OTHERS, " ")
+    line = F.concat(F.lit("|"), F.trim(F.regexp_replace(cut, LINE_ENDS, "||")), F.lit("|"))
+    found = line
+    for pattern, ids in sentence_steps():
+        found = F.regexp_replace(found, pattern, ids)
+    return F.when(line.rlike(HINT), F.regexp_extract_all(found, F.lit(r"\|#([^|]+)"), F.lit(1)))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -93,9 +104,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     both comma-joined, the latter in the order of RULES without repeats; a longer BSD rule
     hides the shorter one.
 
-    Sentences are found wrapped as well as on one line. HINT names words of which every known sentence has one, so texts without them are not
-    split. Null and empty texts hold nothing; a repeated row is reported each time; an empty
-    table gives an empty result.
+    Sentences are found wrapped as well as on one line. HINT, tested on the normalised text,
+    names words of which every known sentence has one, so other texts are not searched. Null
+    and empty texts hold nothing; very long ones are searched whole; a repeated row is reported
+    each time; an empty table gives an empty result.
     """
     ids = F.coalesce(sentence_ids(F.coalesce(F.col("text"), F.lit(""))), F.expr("array()").cast("array<string>"))
     line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import RULES, SENTENCES
+from .licenses import LINE_ENDS, OTHERS, RULES, SPLIT, sentence_steps
 from .secrets import BASE, CLASSES, KINDS, WEAK
 
 EXACT = """
@@ -55,12 +55,15 @@ SELECT page_id, strlen(html) AS payload_bytes, {base32} AS payload_digest, CASE
 
 
 def licenses_sql() -> str:
-    keys, values = (", ".join(map(quoted, x)) for x in (SENTENCES, SENTENCES.values()))
     tests = ", ".join(f"CASE WHEN regexp_matches(line, {quoted(',' + ',(?:[^,]*,)*'.join(x.replace('.', chr(92) + '.') for x in seq) + ',')}) THEN {quoted(name)} END" for name, seq in RULES)
+    found = "line"
+    for pattern, ids in sentence_steps():
+        found = f"regexp_replace({found}, {quoted(pattern)}, {quoted(ids)}, 'g')"
     return rf"""
-WITH known AS (SELECT MAP([{keys}], [{values}]) AS m),
-s AS (SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '[.!?;:]+\s+|\n+'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))) AS s FROM documents),
-i AS (SELECT doc_id, list_filter(list_transform(s, lambda x: m[x]), lambda x: x IS NOT NULL) AS ids FROM s, known),
+WITH c AS (SELECT doc_id, regexp_replace(lower(regexp_replace(coalesce(text, ''), {quoted(SPLIT)}, '|' || chr(10), 'g')), {quoted(OTHERS)}, ' ', 'g') AS t FROM documents),
+s AS (SELECT doc_id, '|' || trim(regexp_replace(t, {quoted(LINE_ENDS)}, '||', 'g')) || '|' AS line FROM c),
+f AS (SELECT doc_id, {found} AS found FROM s),
+i AS (SELECT doc_id, regexp_extract_all(found, '\|#([^|]+)', 1) AS ids FROM f),
 l AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS line FROM i),
 r AS (SELECT doc_id, ids, list_filter([{tests}], lambda x: x IS NOT NULL) AS names FROM l),
 u AS (SELECT doc_id, ids, list_filter(names, lambda x, k: list_position(names, x) = k AND NOT (x = 'BSD-2-Clause' AND list_contains(names, 'BSD-3-Clause'))) AS names FROM r)
