@@ -142,3 +142,9 @@ def transcript(turns: Column) -> Column:
     """Lines role: text, casefolded, blank turns left out."""
     line = lambda t: F.concat(text.role_tag(t["speaker_role"]), F.lit(": "), F.lower(text.collapse(t["text"])))
     return F.array_join(F.transform(F.filter(turns, lambda t: F.coalesce(text.collapse(t["text"]), F.lit("")) != ""), line), "\n")
+
+
+def within_cap(df: DataFrame, by: list[str], order: str, size: str, cap: int) -> DataFrame:
+    """Chunks of an upload in order, as long as their sizes so far (`upto`) fit the cap."""
+    upto = F.sum(size).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return df.withColumn("upto", upto).where(F.col("upto") <= cap)

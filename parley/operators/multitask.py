@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..schema import SCAM_TYPES
 
 # fixed values: newer names of tactics
 RENAMED = {
@@ -19,6 +20,11 @@ def canonical_tactic(name: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name), name)
 
 
+def known_type(is_scam: Column, scam_type: Column) -> Column:
+    """A type of the closed list: none for negatives, other_scam for unknown ones of positives."""
+    return F.when(is_scam == 0, "non_scam").when(scam_type.isin(SCAM_TYPES), scam_type).otherwise("other_scam")
+
+
 def turn_records(turns: Column, tactics: list[str], stages: list[str]) -> Column:
     """Array of (text, tactics as 0/1 in the order given, stage) of the spoken turns."""
     body = lambda t: F.coalesce(F.nullif(F.trim(t["normalized_text"]), F.lit("")), t["raw_text"], F.lit(""))

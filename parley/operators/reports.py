@@ -80,3 +80,14 @@ def best_by(df: DataFrame, order: list) -> DataFrame:
     """The best row by a composite key of columns or expressions, larger first."""
     keys = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(F.col(k) if isinstance(k, str) else k for k in order)))
     return df.agg(F.max_by(F.struct(*df.columns), keys).alias("x")).select("x.*")
+
+
+def by_importance(df: DataFrame, most: int) -> DataFrame:
+    """The features of the highest importance, names settling ties."""
+    return df.orderBy(F.desc("importance"), "name").limit(most)
+
+
+def latency_summary(df: DataFrame, by: list[str]) -> DataFrame:
+    """Runs and the median latency, where a missing latency counts as infinite."""
+    latency = F.coalesce(F.col("latency").cast("double"), F.lit(float("inf")))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), (F.max(latency) == float("inf")).alias("unbounded"), F.median(latency).alias("median_latency"))

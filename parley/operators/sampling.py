@@ -62,6 +62,13 @@ def balanced_negatives(df: DataFrame, key: str, mixed_ratio: float, ratio: float
     return df.where("label = 1").select(columns).unionByName(mixed.select(columns)).unionByName(last.select(columns))
 
 
+def positive_weight(df: DataFrame, by: list[str], cap: float) -> DataFrame:
+    """weight: negatives per positive of each group that has positives; capped: at most `cap`."""
+    counts = df.groupBy(*by).agg(F.count_if(F.col("label") == 0).alias("_n"), F.count_if(F.col("label") == 1).alias("_p")).where("_p > 0")
+    weight = F.col("_n").cast("double") / F.col("_p")
+    return counts.select(*by, weight.alias("weight"), F.least(F.lit(cap), weight).alias("capped"))
+
+
 def class_weights(df: DataFrame, label: str, base: Column, cap: float, least: float = 0.5) -> DataFrame:
     """weight = base * sqrt(N / (classes * rows of the class)), the factor held to [least, cap]."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))

@@ -18,20 +18,25 @@ def first_reason(rules: list[tuple[Column, str]]) -> Column:
     return out
 
 
+def provenance_weight(provenance: Column, weights: dict[str, float]) -> Column:
+    """The weight of a provenance, 1 where the table has none."""
+    table = F.create_map(*(F.lit(x) for p in weights.items() for x in p)) if weights else F.lit(None).cast("map<string,double>")
+    return F.coalesce(F.try_element_at(table, provenance), F.lit(1.0))
+
+
 def training_rows(df: DataFrame, splits: DataFrame, allowed: list[str], weights: dict[str, float]) -> tuple[DataFrame, DataFrame]:
     """(rows, counts by reason). Rows fail for the first of: no split, not eligible, provenance
     not allowed, no binary label, empty text. Weights come from the provenance, 1 by default.
 
     df: conversation_id, training_eligible, provenance, label, text. The split table is joined
     by AQE's choice, as it grows with the conversations."""
-    table = F.create_map(*(F.lit(x) for p in weights.items() for x in p)) if weights else F.lit(None).cast("map<string,double>")
     rules = [
         (F.col("split").isNull(), "missing_split"), (~F.col("training_eligible"), "not_training_eligible"),
         (~F.col("provenance").isin(allowed), "disallowed_provenance"), (~F.col("label").isin(0, 1), "missing_binary_label"),
         (F.trim("text") == "", "empty_text"),
     ]
     marked = df.join(splits, "conversation_id", "left").withColumn("reason", first_reason(rules))
-    rows = marked.where("reason is null").drop("reason").withColumn("sample_weight", F.coalesce(F.try_element_at(table, F.col("provenance")), F.lit(1.0)))
+    rows = marked.where("reason is null").drop("reason").withColumn("sample_weight", provenance_weight(F.col("provenance"), weights))
     return rows, marked.groupBy("reason").agg(F.count("*").alias("n"))
 
 

@@ -253,14 +253,6 @@ def scam_types(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", signals.scam_type(F.col("text")).alias("scam_type"))
 
 
-@query()
-def lexical_tactics(t: Tables) -> DataFrame:
-    """Word-bounded hits and the stage they tell; the boundary needs lookaround, which the SQL
-    engine lacks, so this is tested against Python."""
-    counted = t.documents.select("doc_id", *(v.cast("long").alias(k) for k, v in signals.lexical_hits(F.col("text")).items()))
-    return counted.withColumn("stage_progress", signals.stage_progress({k: F.col(k) for k in signals.LEXICAL_TACTICS}))
-
-
 @query()
 def entity_spans(t: Tables) -> DataFrame:
     """Every entity with offsets, redacted; greedy overlap has no SQL form."""

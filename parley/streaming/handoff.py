@@ -138,11 +138,16 @@ LATCH_STATE = "size int, fired_at int"
 LATCH = "conversation_id string, turn int, size int, latched boolean"
 
 
-def latched(turns: DataFrame, threshold: float) -> DataFrame:
+def latched(turns: DataFrame, threshold: float, idle_s: int | None = None) -> DataFrame:
     """A stream of scored turns (conversation_id, turn, score) with a decision that stays once
-    a score has reached the threshold."""
+    a score has reached the threshold. With `idle_s` a conversation's state goes when no turn has
+    come for so many seconds of processing time, as a stream that never ends needs; a run over
+    what is there now (availableNow) would wait for such timeouts for ever, so it has none."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         size, fired = state.get if state.exists else (0, -1)
         rows = pd.concat(list(frames)).sort_values("turn", kind="stable")
         out = []
@@ -151,9 +156,12 @@ def latched(turns: DataFrame, threshold: float) -> DataFrame:
             fired = size if fired < 0 and score >= threshold else fired
             out.append((key[0], int(turn), size, fired > 0))
         state.update((size, fired))
+        if idle_s is not None:
+            state.setTimeoutDuration(idle_s * 1000)
         yield pd.DataFrame(out, columns=["conversation_id", "turn", "size", "latched"])
 
-    return turns.groupBy("conversation_id").applyInPandasWithState(step, LATCH, LATCH_STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle_s is None else GroupStateTimeout.ProcessingTimeTimeout
+    return turns.groupBy("conversation_id").applyInPandasWithState(step, LATCH, LATCH_STATE, "append", timeout)
 
 
 def append_unseen(batch: DataFrame, path: str, key: str) -> None:

@@ -40,16 +40,16 @@ def test_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "d.zip", "w") as z:
         z.writestr("x/dialogues_text.txt", "hi __eou__ yo __eou__\n\nbye __eou__\n")
         z.writestr("x/other.txt", "no")
-    lines = readers.read_zip_lines(spark, str(tmp_path / "d.zip"), r"dialogues_text\.txt$")
+    lines = readers.read_zip_lines(readers.archives_at(spark, str(tmp_path / "d.zip")), r"dialogues_text\.txt$")
     assert ingest.from_utterances(lines).count() == 2
     with zipfile.ZipFile(tmp_path / "s.zip", "w") as z:
         z.writestr("r/train/dialogues_001.json", json.dumps([{"dialogue_id": "1", "services": ["a"], "turns": [{"speaker": "USER", "utterance": "hi"}]}]))
         z.writestr("r/sgd_x/dialogues_001.json", "[]")
-    rows = readers.read_zip_dialogues(spark, str(tmp_path / "s.zip"))
+    rows = readers.read_zip_dialogues(readers.archives_at(spark, str(tmp_path / "s.zip")))
     assert rows.first().original_split == "train" and ingest.from_dialogue_arrays(rows).first().turns[0].speaker_role == "user"
     with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
         z.writestr("t.csv", "ID,Content\n1,hello\n")
-    assert readers.read_zip_csv(spark, str(tmp_path / "c.zip")).first().fields == {"ID": "1", "Content": "hello"}
+    assert readers.read_zip_csv(readers.archives_at(spark, str(tmp_path / "c.zip"))).first().fields == {"ID": "1", "Content": "hello"}
     assert len(readers.file_digests(spark, str(tmp_path / "c.zip")).first().sha256) == 64
 
 
