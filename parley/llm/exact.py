@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, tidy, unused, without_rows
 
 
 def survivors(keys: DataFrame, bits: int) -> DataFrame:
@@ -18,8 +18,10 @@ def survivors(keys: DataFrame, bits: int) -> DataFrame:
     )
 
 
+@tidy
 def exact_dedup(docs: DataFrame, prefix: int = 64, filter_bits: int = 20, digest_all: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, full_hash, keep_id, group_size, kept, copies.
+    """One row per input row: doc_id, n_bytes, full_hash, keep_id, group_size, kept, copies, tie
+    (XXH64 of the text, for rows that pass 2 reads).
 
     Texts are equal when identical; null counts as empty. Of equal texts the row with the
     largest doc_id is kept (null ids count as smallest). Rows that repeat a kept doc_id with
@@ -51,7 +53,7 @@ def exact_dedup(docs: DataFrame, prefix: int = 64, filter_bits: int = 20, digest
     survives = F.coalesce(bit, F.lit(False))
     full = F.sha2(F.col("text"), 256)
     rows = materialize(
-        hashed.select("doc_id", "n_bytes", "prefix_hash", survives.alias("survives"), (full if digest_all else F.when(survives, full)).alias("full_hash")),
+        hashed.select("doc_id", "n_bytes", "prefix_hash", F.when(survives, F.xxhash64("text")).alias("tie"), survives.alias("survives"), (full if digest_all else F.when(survives, full)).alias("full_hash")),
         "hashed",
     )
     groups = (
@@ -68,12 +70,12 @@ def exact_dedup(docs: DataFrame, prefix: int = 64, filter_bits: int = 20, digest
         own.withColumnsRenamed({"full_hash": "_h", "doc_id": "_d"}), F.expr("full_hash = _h and doc_id <=> _d"), "left"
     )
     alone: dict[str, Column] = {"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "copies": F.lit(1).cast("long")}
-    out = ["doc_id", "n_bytes", "full_hash", "keep_id", "group_size", "copies"]
+    out = ["doc_id", "n_bytes", "full_hash", "keep_id", "group_size", "copies", "tie"]
     multi = repeated.select(
         "doc_id", "n_bytes", "full_hash",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce("copies", F.lit(1).cast("long")).alias("copies"),
+        F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "tie",
     )
     return (
         rows.where("not survives").withColumns(alone).select(*out).unionByName(multi).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
@@ -81,14 +83,21 @@ def exact_dedup(docs: DataFrame, prefix: int = 64, filter_bits: int = 20, digest
 
 
 def drop_exact_copies(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs that stay, with all their columns; exactly one row per distinct text."""
-    decided = materialize(exact_dedup(docs, **params).select("doc_id", "full_hash", "group_size", "kept", "copies"), "decided")
-    lost = decided.where("not kept").select(F.col("doc_id").alias("_d"), F.col("full_hash").alias("_h")).distinct()
-    text = F.coalesce(docs["text"], F.lit(""))
-    stay = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_d"]) & (F.sha2(text, 256) == lost["_h"]), "left_anti")
-    again = decided.where("kept and copies > 1").select(F.col("doc_id").alias("_d"), F.col("full_hash").alias("_h")).distinct()
+    """The rows of docs that stay, with all their columns; exactly one row per distinct text.
+
+    Null and empty texts are one text; texts of any length are compared by their full hash; of
+    rows that repeat both text and kept doc_id (null too) one stays; an empty table gives an
+    empty result. Full hashes are computed for rows whose refined key several rows share; docs is
+    filtered by the ids that go, and only rows with such an id are shuffled."""
+    decided = exact_dedup(docs, **params)
+    lost = materialize(decided.where("not kept").select("doc_id", "tie").distinct(), "lost")
+    stay = without_rows(docs, lost)
+    again = materialize(decided.where("kept and copies > 1").select("doc_id", "tie").distinct(), "again")
     if again.isEmpty():
         return stay
-    match = stay["doc_id"].eqNullSafe(again["_d"]) & (F.sha2(F.coalesce(stay["text"], F.lit("")), 256) == again["_h"])
-    once = stay.join(again, match, "left_semi").withColumn("__text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return stay.join(again, match, "left_anti").unionByName(once.dropDuplicates(["doc_id", "__text_hash"]).drop("__text_hash"))
+    tie = unused(docs, "tie")
+    repeated = docs.withColumn(tie, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    names = again.select(F.col("doc_id").alias(unused(docs, "_id")), F.col("tie").alias(unused(docs, "_tie")))
+    match = F.expr(f"doc_id <=> {names.columns[0]} and {tie} = {names.columns[1]}")
+    once = repeated.join(names, match, "left_semi").dropDuplicates(["doc_id", tie]).select(*docs.columns)
+    return without_rows(stay, again).unionByName(once)

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, materialize, tidy
 
-BANDS, BAND_BITS = 4, 16
+BANDS = 4
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -28,9 +28,14 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     else:
         join = b" ".join
         hashes = [h(join(t), seed) for t in zip(*(w[i:] for i in range(words)))]
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit word of the bits that are set in over half of the hashes."""
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[at : at + (1 << 14)], dtype="<u8")
+        part = hashes[at : at + (1 << 14)]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -133,16 +138,51 @@ def shard_links(members: list[int], radius: int) -> Iterator[tuple[int, int]]:
             yield members[i], members[r]
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def split_shards(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows (key, rest, fp) of shards that are too large, dealt anew by a band of the `bits` bits
+    in which their words can still differ: equal key, and all but those bits agree."""
+    width = bits // BANDS
+    out = []
+    for b in range(BANDS):
+        at, n = b * width, width if b < BANDS - 1 else bits - (BANDS - 1) * width
+        value = F.expr(f"shiftrightunsigned(rest, {at}) & {(1 << n) - 1}L")
+        low = F.expr(f"rest & {(1 << at) - 1}L")
+        high = F.expr(f"shiftleft(shiftrightunsigned(rest, {at + n}), {at})") if at + n < 64 else F.lit(0).cast("long")
+        out.append(F.struct(F.xxhash64("key", F.lit(b), value).alias("key"), high.bitwiseOR(low).alias("rest")))
+    return rows.select("fp", F.explode(F.array(*out)).alias("x")).select("x.key", "x.rest", "fp")
+
+
+def shards_of(distinct: DataFrame, most: int, levels: int = 3) -> DataFrame:
+    """(key, fp) of the shards that hold several words. A shard of more than `most` words is
+    dealt again by four bands of its remaining bits, which words in reach cannot all differ in."""
+    rows, bits = split_shards(distinct.select(F.lit(0).alias("key"), F.col("fp").alias("rest"), "fp"), 64), 64
+    done = None
+    for level in range(levels):
+        bits -= bits // BANDS
+        if level == levels - 1:
+            break
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        hot = materialize(sizes.select("key"), "hot_shards")
+        if hot.isEmpty():
+            break
+        rows = materialize(rows, "shards")
+        cold = rows.join(hot, "key", "left_anti").select("key", "fp")
+        done = cold if done is None else done.unionByName(cold)
+        rows = split_shards(rows.join(hot, "key", "left_semi"), bits)
+    rows = rows.select("key", "fp")
+    return rows if done is None else done.unionByName(rows)
+
+
+def link_fingerprints(distinct: DataFrame, radius: int = 3, most: int = 20_000) -> DataFrame:
     """Links a, b that connect all fingerprints (column fp, distinct) within the radius.
 
     Words at most 3 bits apart agree in one of 4 bands of 16 bits, so a shard is a band and
-    its value. Each shard's tree goes only to the task that asks it, by the shuffle: the trees
+    its value; shards of over `most` words are split by bands of their other bits, up to two
+    times. Each shard's tree goes only to the task that asks it, by the shuffle: the trees
     together hold every fingerprint, which no broadcast bounds. A shard yields a spanning
     forest, not its pairs.
     """
     assert radius < BANDS, "the bands find words that differ in fewer bits than there are bands"
-    shard = F.explode(F.array(*(F.expr(f"cast(shiftrightunsigned(fp, {BAND_BITS * b}) & 65535 as int) + {b << BAND_BITS}") for b in range(BANDS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, a, b = None, [], [], []
@@ -166,9 +206,10 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
             b.append(r)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return distinct.select(shard.alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "a long, b long")
+    return shards_of(distinct, most).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+@tidy
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp and component_id of every row of docs.
 
@@ -181,15 +222,8 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, seed: i
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(link_fingerprints(distinct.select("fp"), radius))
     linked = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "component_id")
+    # what is joined is stored first, so that a giant component or a print of very many rows can be split
+    linked = materialize(linked, "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = materialize(linked.join(least, "root").select("fp", "component_id"), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest doc_id.
-
-    Rows without a doc_id can't be named, so they stay."""
-    found = simhash_components(docs, **params)
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)

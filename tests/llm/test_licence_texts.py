@@ -47,4 +47,28 @@ def test_every_sentence_is_found_wrapped(spark):
     texts = ["Words.\n" + textwrap.fill(s, 50) + "\nwords" for s in known]
     got = {r.doc_id: r.sentence_ids for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == list(known.values())
-    assert all(s == re.sub("[^a-z0-9]+", " ", s).strip() and re.search(licenses.HINT, s) for s in known)
+    assert all(s == re.sub("[^a-z0-9]+", " ", s).strip() and re.search(licenses.HINT, s) and re.search(licenses.HINT, s.replace(" ", "||")) for s in known)
+
+
+def test_hint_loses_nothing(spark, monkeypatch):
+    known = list(licenses.SENTENCES | licenses.CANONICAL)
+    texts = ["All  rights reserved.", "all-rights reserved", "ALL\nRIGHTS: reserved!", "x. " + "; ".join(known), *TEXTS.values(), *(f"\u212a {k.title().replace(' ', '_ ')}\u0130" for k in known)]
+    texts += [k.replace(" ", "\n", 3).replace(" ", " \t-", 5).upper() for k in known]
+    run = lambda: [tuple(r) for r in licenses.scan_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    with_hint = run()
+    monkeypatch.setattr(licenses, "HINT", "")
+    assert run() == with_hint
+    assert [r[2] for r in with_hint[:3]] == ["reserved.notice"] * 3
+
+
+def test_sql_finds_the_same(spark):
+    import duckdb
+
+    from parley.llm.oracles import licenses_sql
+
+    texts = [w for t in TEXTS.values() for w in (t, textwrap.fill(t, 60), textwrap.indent(textwrap.fill(t, 72), "# "))] + [None, "", "all-rights  reserved"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    got = [tuple(r) for r in licenses.scan_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert db.execute(licenses_sql() + " ORDER BY doc_id").fetchall() == got

@@ -176,10 +176,26 @@ def test_tokenizer_matches_the_library(corpus):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
-    texts = [t or "" for t in corpus] + ["It's A.B, c.. 12,3 <|endoftext|> é, é. x y it's. á,"]
-    own = packing.WordTokenizer(path, cache_words=50).encode([t.encode() for t in texts])
+    texts = [t or "" for t in corpus] + ["It's A.B, c.. 12,3 <|endoftext|> é, é. x y it's. á,", "Σ ΣΑΣ. ŒUVRE, cafe\u0301! İ K ſ ﬁ Привет, МИР; naïve'S"]
+    texts += ["<|ENDOFTEXT|> a", "x<|StartOfText|>. <|startoftext|>B c", "<|EndOfText|> <|endoftext|> Mixed CASE", "w" * 200_000, "Q" * 70 + ". " + "é" * 40]
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñøAZÄÖÉßабвгдежзαβγδσς"
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) + rng.choice(["", "", ".", ",", "!?", "'s"]) for _ in range(3000)) for _ in range(20)]
+    model = packing.WordTokenizer(path, cache_bytes=100_000)
     want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, "<u4").tolist() for x in own] == [e.ids for e in want]
+    assert [np.frombuffer(model.encode(t.encode()), "<u4").tolist() for t in texts] == [e.ids for e in want]
+    assert len(model.words) + len(model.older) < 1000
+
+
+def test_merge_table_only_for_its_kind():
+    import json
+
+    with open(queries.tokenizer_path()) as f:
+        model = json.load(f)["model"]
+    assert len(packing.merge_table(model)) == len(model["merges"]) + 513
+    assert packing.merge_table(model | {"end_of_word_suffix": None}) is None
+    assert packing.merge_table(model | {"merges": model["merges"][::-1]}) is None
+    assert packing.merge_table({"type": "Unigram", "vocab": [], "merges": []}) is None
 
 
 def test_packing(spark, corpus):
@@ -243,6 +259,32 @@ def test_sharding(spark, corpus):
     assert spark.read.schema("doc_id long").parquet(sharding.external_shuffle(d.limit(0))).count() == 0
 
 
+def test_sharding_order_is_recomputed(spark, corpus):
+    """The order from the buckets' keys and the seeded swaps, in plain Python."""
+    d = docs_of(spark, corpus).withColumn("k", F.xxhash64("doc_id", "text")).cache()
+    rows = d.select("doc_id", "k", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")).collect()
+    buckets = -(-sum(r.size for r in rows) // 2000)
+    of = {r.doc_id: r.b for r in d.select("doc_id", F.pmod(F.xxhash64(F.lit(7), "k"), F.lit(buckets)).alias("b")).collect()}
+    order = []
+    for b in sorted(set(of.values())):
+        mine = sorted((r for r in rows if of[r.doc_id] == b), key=lambda r: r.k)
+        rng = np.random.default_rng([7, b])
+        picks = [int(x * (i + 1)) for i, x in enumerate(rng.random(len(mine)))]
+        for i in range(len(mine) - 1, 0, -1):
+            mine[i], mine[picks[i]] = mine[picks[i]], mine[i]
+        order += [r.doc_id for r in mine]
+    got = spark.read.parquet(sharding.external_shuffle(d.drop("k"), bucket_bytes=2000)).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.slot, r.shard))] == order
+
+
+def test_sharding_keeps_every_value(spark):
+    rows = [(None, "a", None, 1), ((1 << 60) + 1, "b", (1 << 62) + 3, 2), (5, None, None, 3), (-(1 << 63), "", 9, 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, big long, SIZE int").withColumn("Shard", F.lit("s")).withColumn("_key", F.lit(1.5)).withColumn("_bucket", F.lit(None).cast("date"))
+    got = spark.read.parquet(sharding.external_shuffle(d))
+    assert sorted((r.doc_id or 0, r.text, r.big, r.SIZE_in) for r in got.collect()) == sorted((i or 0, t, b, n) for i, t, b, n in rows)
+    assert {"Shard_in", "_key", "_bucket", "size", "shard", "slot"} <= set(got.columns) and got.where("_key = 1.5 and Shard_in = 's'").count() == 4
+
+
 def test_fisher_yates_is_uniform():
     rng = np.random.default_rng(0)
     seen = {}
@@ -296,7 +338,7 @@ def test_myers():
 
 def test_decontamination(spark, words):
     rng = random.Random(6)
-    items = [" ".join(rng.choice(words) for _ in range(14)) for _ in range(12)] + ["short", "", None]
+    items = [" ".join(rng.choice(words) for _ in range(14)) for _ in range(12)] + ["short item, 42!", "", None]
     texts = []
     for i in range(80):
         t = " ".join(rng.choice(words) for _ in range(rng.randint(0, 50)))
@@ -306,10 +348,14 @@ def test_decontamination(spark, words):
                 q[rng.randrange(len(q))] = rng.choice("abcxyz ")
             t += " " + "".join(q).upper() + "\n" + t
         texts.append(t)
+    texts[3] += " a SHORT  item, 42! here"
+    texts[7] += " short item, 42!"
+    texts[9] += " xshort item, 42!"
+    texts[11] += " short items, 42!"
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     for block in (1 << 20, 200):
-        got = {(r.doc_id, r.item_id): r for r in decontaminate.benchmark_hits(docs_of(spark, [*texts, None, ""]), bench, block_chars=block).collect()}
-        want = {}
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.benchmark_hits(docs_of(spark, [*texts, None, ""]), bench, block_chars=block, chunk_chars=900).collect()}
+        want = {(3, 12): 0, (7, 12): 0}
         for i, t in enumerate(texts):
             for k, q in enumerate(items[:12]):
                 d = edit_to_part(decontaminate.normalize(q), decontaminate.normalize(t))

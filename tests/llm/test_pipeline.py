@@ -4,7 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from test_operators_llm import naive_components, naive_fingerprint
+from test_resemblance import naive_kept
 
 import corpus_pipeline
 from parley.llm import decontaminate, queries, toxicity
@@ -23,8 +23,8 @@ def test_pipeline_against_brute_force(spark):
     for i, t in rows:
         last[t] = max(i, last.get(t, i))
     rows = [(i, t) for i, t in rows if last[t] == i]
-    names = naive_components([naive_fingerprint(t) for _, t in rows], [i for i, _ in rows])
-    rows = [(i, t) for i, t in rows if names[i] == i]
+    stay = naive_kept(rows)
+    rows = [(i, t) for i, t in rows if i in stay]
     items = [decontaminate.normalize(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items = [t for t in items if len(t) >= 40]
     holds = lambda t: any(q in t or decontaminate.myers(q, t, int(len(q) * 0.08)) for q in items)
