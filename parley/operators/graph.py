@@ -13,9 +13,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: a long, b long (no nulls; self loops and repeats are ignored). Returns node, root
     for every node that has a link to another node; root is the smallest node of the
-    component. Least neighbours are aggregated map-side and stored before they are joined, so
-    neither side of a join rests on the aggregate's partitioning and AQE can split a hub with a
-    third of all links; nothing is gathered per node.
+    component. Least neighbours are aggregated map-side and dealt anew before they are joined,
+    so neither side of a join rests on the aggregate's partitioning and AQE can split a hub with
+    a third of all links; nothing is gathered per node.
     """
     pairs = materialize(
         edges.where("a <> b")
@@ -30,11 +30,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         state = now
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
         large = materialize(
             both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
         )
-        star = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "star")
+        star = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         moved = large.join(star, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = materialize(
             moved.unionByName(star.select("u", F.col("m").alias("v")))
@@ -43,8 +43,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct(),
             "links",
         )
-        for table in (pairs, low, large, star):
-            discard(table)
+        discard(pairs)
+        discard(large)
         pairs = step
     else:
         raise RuntimeError("components did not settle")
