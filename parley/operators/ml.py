@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import logit
 from .metrics import roc_auc
-from .sampling import hash_rank
+from .sampling import with_rank
 
 
 def char_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
@@ -129,10 +129,10 @@ def calibrated_isotonic(model, df: DataFrame, score: str = "score") -> DataFrame
     return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))).drop("features", "prediction")
 
 
-def with_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
-    """A fold by hash rank within each label, so that labels spread evenly."""
-    digit = F.conv(F.substring(hash_rank(F.col(key), "fold|"), 1, 12), 16, 10).cast("long")
-    return df.withColumn("fold", F.pmod(digit, F.lit(folds)).cast("int"))
+def with_folds(df: DataFrame, key: str, folds: int = 5, label: str = "label") -> DataFrame:
+    """A fold by hash rank within each label, so that every fold has its share of each."""
+    ranked = with_rank(df, key, [label], "fold|", "_k")
+    return ranked.withColumn("fold", F.pmod(F.col("_k"), F.lit(folds)).cast("int")).drop("_r", "_n", "_k")
 
 
 def out_of_fold(df: DataFrame, key: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], folds: int = 5) -> DataFrame:

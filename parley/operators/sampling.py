@@ -54,8 +54,11 @@ def balanced_negatives(df: DataFrame, key: str, mixed_ratio: float, ratio: float
     rest = turn.where("pos = 0")
     need = df.where("label = 1").agg((F.ceil(F.count("*") * ratio)).alias("want")).crossJoin(mixed.agg(F.count("*").alias("have"))).selectExpr("greatest(0, want - have) as need")
     # rounds before the last whole one are taken as they are; only the last one needs an order
-    rounds = rest.groupBy("_k").agg(F.count("*").alias("m"))
-    upto = rounds.select("_k", F.sum("m").over(W.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)).alias("before")).fillna(0, ["before"])
+    rounds = rest.groupBy("_k").agg(F.count("*").alias("m")).withColumn("_range", F.expr("_k div 10000"))
+    ranges = rounds.groupBy("_range").agg(F.sum("m").alias("rows"))
+    earlier = lambda c, *by: F.coalesce(F.sum(c).over(W.partitionBy(*by).orderBy("_range" if not by else "_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("_range", earlier("rows").alias("below"))  # a row for 10,000 rounds
+    upto = rounds.join(ranges, "_range").select("_k", (F.col("below") + earlier("m", "_range")).alias("before"))
     picked = rest.join(upto, "_k").crossJoin(F.broadcast(need)).where("before < need")
     last = picked.withColumn("_i", F.row_number().over(W.partitionBy("_k").orderBy("source"))).where("before + _i <= need")
     columns = df.columns

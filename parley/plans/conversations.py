@@ -118,7 +118,7 @@ grouped AS (SELECT e.doc_id AS id, x.root FROM every e JOIN reps USING (source,
 @query(GROUPS_SQL + "SELECT id, root FROM grouped")
 def dup_components(t: Tables) -> DataFrame:
     prints = materialize(doc_prints(t), "prints")
-    return dedup.groups_of(prints, dedup.near_pairs(prints, ["source"]), ["source"])
+    return dedup.groups_of(prints, dedup.near_links(prints, ["source"]), ["source"])
 
 
 @query(GROUPS_SQL + "SELECT root, count(*) AS n, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS group_id FROM grouped GROUP BY root")

@@ -92,14 +92,15 @@ def tagged_text(t: Tables) -> DataFrame:
     return t.documents.where(F.trim("text") != "").select("doc_id", text.ensure_caller_tag(F.col("text")).alias("tagged"))
 
 
-# replies of a model: prose and fences around a JSON object of turns
-REPLY = F.struct(F.col("role").alias("speaker_role"), F.col("text").alias("text"), F.when(F.col("turn") == 0, "contact").otherwise("chatter").alias("stage"),
-                 F.array(F.lit("urgency"), F.lit("small_talk")).alias("tactics"))
+def reply_turn() -> Column:
+    stage = F.when(F.col("turn") == 0, "contact").otherwise("chatter").alias("stage")
+    return F.struct(F.col("role").alias("speaker_role"), F.col("text").alias("text"), stage, F.array(F.lit("urgency"), F.lit("small_talk")).alias("tactics"))
 
 
 def replies(t: Tables) -> DataFrame:
+    """Replies of a model: prose and fences around a JSON object of turns."""
     body = F.to_json(F.struct(F.col("turns").alias("turns")))
-    return gathered(t, REPLY).select("conv_id", F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")).alias("reply"))
+    return gathered(t, reply_turn()).select("conv_id", F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone.")).alias("reply"))
 
 
 @query("SELECT conv_id, turn AS place, role AS speaker_role, text, CASE turn WHEN 0 THEN 'contact' ELSE 'chatter' END AS stage, 'urgency,small_talk' AS tactics FROM conversations")
@@ -123,7 +124,6 @@ def generated_turns(t: Tables) -> DataFrame:
 TACTIC_CASES = {k: "CASE WHEN " + " OR ".join(f"contains(low, {quoted(w)})" for w in ws) + " THEN 1 END" for k, ws in signals.WEAK_TACTICS.items()}
 TYPE_OF = f"CASE {' '.join(_TYPE_CASES)} ELSE 'other_scam' END"
 CATEGORIES = ["bank_kyc", "amazon", "unheard of"]
-DIGITS = "regexp_replace(sha256(dataset || '|' || record), '', '')"
 PARTS = f"""
 {PLACED},
 raw AS (

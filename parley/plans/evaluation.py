@@ -294,10 +294,10 @@ def value_counts(t: Tables) -> DataFrame:
     return gates.value_counts(t.documents, "source")
 
 
-@query("SELECT l.doc_id FROM labels l WHERE l.doc_id % 7 NOT IN (SELECT c.conv_id FROM conversations c WHERE c.conv_id < 5)")
+@query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = l.doc_id)")
 def orphans(t: Tables) -> DataFrame:
-    child = t.labels.select("doc_id", (F.col("doc_id") % 7).alias("conv_id"))
-    return gates.orphans(child, t.conversations.where("conv_id < 5"), "conv_id").select("doc_id")
+    """Labels whose id no conversation has."""
+    return gates.orphans(t.labels, t.conversations.select(F.col("conv_id").alias("doc_id")), "doc_id").select("doc_id")
 
 
 @query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)")
@@ -322,7 +322,7 @@ ANNOTATORS = ("a", "b", "c")
 
 
 @query(f"""WITH a AS (SELECT doc_id, who, toxic, quality * (({unit_sql("doc_id || who", "notes")} < 0.9)::INT) AS answer FROM labels, (VALUES ('a'), ('b'), ('c')) v(who)
-WHERE {unit_sql("doc_id || who", "present")} < 0.7), j AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id % 2 = 0),
+WHERE {unit_sql("doc_id || who", "present")} < 0.7), j AS (SELECT DISTINCT doc_id FROM labels JOIN documents USING (doc_id) WHERE lang IN ('en', 'fr')),
 p AS (SELECT doc_id, count(DISTINCT who) AS annotators, count(DISTINCT toxic || '/' || answer) AS answers FROM a GROUP BY doc_id)
 SELECT p.doc_id, annotators, answers, CASE WHEN annotators < 2 THEN 'needs_annotators' WHEN answers = 1 THEN 'agreed' WHEN j.doc_id IS NOT NULL THEN 'adjudicated'
 ELSE 'needs_adjudication' END AS status FROM p LEFT JOIN j USING (doc_id)""")
@@ -330,7 +330,7 @@ def annotation_consensus(t: Tables) -> DataFrame:
     each = t.labels.withColumn("who", F.explode(F.array(*(F.lit(x) for x in ANNOTATORS))))
     key = F.concat(F.col("doc_id").cast("string"), F.col("who"))
     notes = each.where(hashing.unit32(key, "present") < 0.7).withColumn("answer", F.col("quality") * (hashing.unit32(key, "notes") < 0.9).cast("int"))
-    return gates.consensus(notes, t.labels.where("doc_id % 2 = 0"), "doc_id", "who", ["toxic", "answer"])
+    return gates.consensus(notes, t.labels.join(t.documents.where("lang in ('en', 'fr')"), "doc_id"), "doc_id", "who", ["toxic", "answer"])
 
 
 @query("""WITH q(lang, wanted) AS (VALUES ('en', 300), ('de', 300), ('fr', 300), ('es', 300), ('hi', 10)), h AS (SELECT lang, count(*) AS have FROM documents GROUP BY lang)
@@ -401,14 +401,14 @@ def capped_halves(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH m AS (SELECT doc_id::VARCHAR AS conversation_id, {_split_sql('doc_id', 'split', 0.7, 0.85)} AS a, {_split_sql('doc_id', 'split', 0.7, 0.8)} AS b FROM documents)
-SELECT conversation_id, a AS manifest_split, CASE WHEN doc_i IS NOT NULL THEN b END AS listed_split FROM (SELECT *, CASE WHEN conversation_id::BIGINT % 50 <> 0 THEN 1 END AS doc_i FROM m)
+SELECT conversation_id, a AS manifest_split, CASE WHEN doc_i IS NOT NULL THEN b END AS listed_split FROM (SELECT *, CASE WHEN conversation_id::BIGINT IN (SELECT doc_id FROM labels) THEN 1 END AS doc_i FROM m)
 WHERE a IS DISTINCT FROM CASE WHEN doc_i IS NOT NULL THEN b END""")
 def manifest_agreement(t: Tables) -> DataFrame:
-    """A manifest against lists that were cut elsewhere and lack some ids."""
+    """A manifest against lists that were cut elsewhere and hold labelled ids only."""
     at = hashing.unit32(F.col("doc_id").cast("string"), "split")
     cut = lambda top: F.when(at < 0.7, "train").when(at < top, "validation").otherwise("test")
     key = F.col("doc_id").cast("string").alias("conversation_id")
-    return reports.manifest_agreement(t.documents.select(key, cut(0.85).alias("split")), t.documents.where("doc_id % 50 <> 0").select(key, cut(0.8).alias("split")))
+    return reports.manifest_agreement(t.documents.select(key, cut(0.85).alias("split")), t.labels.select("doc_id").distinct().select(key, cut(0.8).alias("split")))
 
 
 @query("""SELECT o_orderpriority AS name, o_orderkey AS conversation_id, o_totalprice AS score FROM
