@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, new_path
+from .shared import materialize, new_path, tidy
 
 # fixed values: the skippable frame that leads a .warc.zst file and holds its dictionary
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -67,38 +67,60 @@ def filesystem(uri: str):
 
 
 def train_dictionary(pages: DataFrame, size: int = 64 << 10, samples: int = 400, most_bytes: int = 16 << 20) -> bytes:
-    """A raw Zstandard dictionary from `samples` records (those of the smallest seeded hashes;
-    at most `most_bytes` in all reach the driver's trainer); b"" where that is too little."""
-    rows = (
-        pages.select("page_id", "url", "html", F.xxhash64(F.lit(11), "page_id", F.length("html")).alias("h"))
-        .orderBy("h", "page_id", "url", "html").limit(samples).toLocalIterator()
-    )
-    parts, held = [], 0
-    for r in rows:
-        data = record(r["page_id"], r["url"], (r["html"] or "").encode(), None, "2024-01-01T00:00:00Z")
-        held += len(data)
-        if held > most_bytes:
-            break
-        parts.append(data)
-    try:
-        return zstandard.train_dictionary(size, parts).as_bytes() if len(parts) >= 8 else b""
-    except zstandard.ZstdError:
-        return b""
+    """A Zstandard dictionary from the records of `samples` pages, those of the smallest seeded
+    hashes among pages of at most most_bytes / samples characters, so at most a bounded number
+    of bytes reaches the driver's trainer, and no long page hides the others. Where that gives
+    fewer than eight records, shorter beginnings of any pages (as many characters) stand in;
+    b"" only where the trainer cannot make a dictionary of so little."""
+    room = most_bytes // samples // 4  # characters, of up to four bytes
+
+    def sample(rows: DataFrame) -> list[bytes]:
+        drawn = rows.select("page_id", "url", F.substring("html", 1, room).alias("html"), F.xxhash64(F.lit(11), "page_id", F.length("html")).alias("h"))
+        found = drawn.orderBy("h", "page_id", "url", "html").limit(samples).toLocalIterator()
+        return [record(r["page_id"], r["url"], (r["html"] or "").encode(), None, "2024-01-01T00:00:00Z") for r in found]
+
+    parts = sample(pages.where(F.coalesce(F.length("html"), F.lit(0)) <= room))
+    if len(parts) < 8:
+        parts = sample(pages)
+    for shrunk in (size, size // 16):
+        try:
+            return zstandard.train_dictionary(shrunk, parts).as_bytes() if parts else b""
+        except zstandard.ZstdError:
+            continue
+    return b""
 
 
 def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, html key and refers_to for rows whose payload another page stands for.
+    """page_id, sha and refers_to for rows whose payload another page stands for.
 
     Of equal payloads of at least `least_bytes` bytes the one with the largest page_id is the
-    response. Groups are aggregated before the shuffle; texts do not move."""
+    response. Groups are aggregated before the shuffle and stored before they are joined, so
+    one payload of very many pages can be split; texts do not move."""
     payload = F.coalesce("html", F.lit(""))
     keys = pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("n"))
     groups = (
         keys.where(F.col("n") >= least_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("rows")).where("rows > 1")
     )
-    return keys.join(groups, ["sha", "n"]).where("page_id <> refers_to or (page_id is null and refers_to is not null)").select("page_id", "sha", "refers_to").distinct()
-
-
+    groups = materialize(groups, "payloads")
+    found = keys.join(groups, ["sha", "n"]).where("page_id <> refers_to or (page_id is null and refers_to is not null)")
+    return materialize(found.select("page_id", "sha", "refers_to").distinct(), "references")
+
+
+def marked_pages(pages: DataFrame, refs: DataFrame, bits: int = 22) -> DataFrame:
+    """pages with refers_to. The referring pages' ids reach the scan as a bitmap of at most
+    2**bits / 64 broadcast rows, so payloads of other pages do not move."""
+    slot = F.pmod(F.xxhash64("page_id"), F.lit(1 << bits))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(page_id), {1 << bits}) & 63 as int))")
+    bitmap = materialize(refs.select(F.shiftright(slot, 6).alias("_word"), bit.alias("m")).groupBy("_word").agg(F.bit_or("m").alias("_mask")), "bitmap")
+    marked = pages.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(bitmap), "_word", "left")
+    hit = F.coalesce(F.col("_mask"), F.lit(0).cast("long")).bitwiseAND(bit) != 0
+    refs = refs.withColumnsRenamed({"page_id": "_p", "sha": "_s"})
+    columns = ["page_id", "url", "html"]
+    joined = marked.where(hit).select(columns).join(refs, F.expr("page_id <=> _p and sha1(coalesce(html, '')) = _s"), "left")
+    return marked.where(~hit).select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(joined.select(*columns, "refers_to"))
+
+
+@tidy
 def write_warc(
     pages: DataFrame, out: str | None = None, least_bytes: int = 0, level: int = 3, records_per_file: int = 20_000, date: str = "2024-01-01T00:00:00Z", dictionary: bytes | None = None
 ) -> DataFrame:
@@ -115,8 +137,7 @@ def write_warc(
     out = out or new_path(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     trained = train_dictionary(pages) if dictionary is None else dictionary
-    refs = with_references(pages, least_bytes).withColumnsRenamed({"page_id": "_p", "sha": "_s"})
-    rows = pages.join(refs, F.expr("page_id <=> _p and sha1(coalesce(html, '')) = _s"), "left").select("page_id", "url", "html", "refers_to")
+    rows = marked_pages(pages, with_references(pages, least_bytes))
     fs, root = filesystem(out)
     fs.create_dir(root, recursive=True)
 
@@ -161,7 +182,7 @@ def write_warc(
 
     files = rows.mapInArrow(run, "path string, records long, bytes long")
     root_uri = out.rstrip("/")
-    return materialize(files.withColumn("path", F.concat(F.lit(root_uri + "/"), F.element_at(F.split("path", "/"), -1))), "archives")
+    return files.withColumn("path", F.concat(F.lit(root_uri + "/"), F.element_at(F.split("path", "/"), -1)))
 
 
 def iter_archive(stream) -> Iterator[bytes]:

@@ -88,3 +88,13 @@ def test_pages(spark):
     assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got) == [
         (0, 0, "revisit", 3), (0, 1, "revisit", 2), (1, 1, "revisit", 2), (1, 1, "revisit", 2), (2, 1, "response", 0), (3, 0, "response", 0), (4, len(LONG), "response", 0),
     ]
+
+
+def test_a_page_beyond_the_sample(spark):
+    """A page of 18 MB neither hides the dictionary nor breaks its archive."""
+    rows = [(i, f"http://h/{i}", f"<p>page {i % 9} of some words</p>") for i in range(40)] + [(99, "http://h/99", "\u00e9" * 9_000_000)]
+    archives = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    got = {r.page_id: r.payload_bytes for r in warc.read_warc(archives).select("page_id", "payload_bytes").collect()}
+    assert got[99] == 18_000_000 and len(got) == 41
+    with open(archives.first().path.removeprefix("file://"), "rb") as f:
+        assert f.read(4) == b"\x5d\x2a\x4d\x18"

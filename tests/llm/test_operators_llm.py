@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parley.llm import decontaminate, exact, licenses, packing, queries, secrets, sharding, simhash, toxicity, warc
+from parley.llm import decontaminate, exact, licenses, packing, queries, resemblance, secrets, sharding, simhash, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -92,7 +92,7 @@ def test_simhash_nulls_and_empty(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.simhash_components(d).collect()}
     assert got == {(None, 7), (7, 7), (3, 3), (None, 3)}
     assert simhash.simhash_components(d.limit(0)).count() == 0
-    kept = simhash.drop_near_copies(docs_of(spark, ["a b c d", "a b c d", "q r s t u v"], [4, 9, 5]))
+    kept = resemblance.drop_near_copies(docs_of(spark, ["a b c d", "a b c d", "q r s t u v"], [4, 9, 5]))
     assert sorted(r.doc_id for r in kept.collect()) == [4, 5] and kept.columns == d.columns
 
 
@@ -192,7 +192,7 @@ def test_merge_table_only_for_its_kind():
 
     with open(queries.tokenizer_path()) as f:
         model = json.load(f)["model"]
-    assert len(packing.merge_table(model)) == len(model["merges"]) + 513
+    assert len(packing.merge_table(model)) == len(model["merges"]) + 512
     assert packing.merge_table(model | {"end_of_word_suffix": None}) is None
     assert packing.merge_table(model | {"merges": model["merges"][::-1]}) is None
     assert packing.merge_table({"type": "Unigram", "vocab": [], "merges": []}) is None
@@ -385,6 +385,45 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(odd.limit(0), labels).count() == 0
 
 
+def test_scores_are_recomputed(spark):
+    """Expected severity, grade and decision of every document, in plain Python."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(got) == docs.count() and model.weights
+    for r in docs.collect():
+        words = re.findall(r"\w+", r.text.lower())
+        share = {}
+        for w in words:
+            for f in [w, "^" + w[:5]] if len(w) > 5 else [w]:
+                share[f] = share.get(f, 0) + 100 / len(words)
+        z = sum(model.weights.get(f, 0.0) * min(3.0, v**0.5) for f, v in share.items())
+        over = [1 / (1 + np.exp(-(z - t))) for t in model.thresholds]
+        chances = np.diff([0.0, *(1 - o for o in over), 1.0])
+        assert got[r.doc_id].expected_severity == pytest.approx(sum(k * c for k, c in enumerate(chances)), abs=1e-9)
+        assert got[r.doc_id].severity == int(np.argmax(chances)) and got[r.doc_id].toxic == (over[0] >= model.cut)
+
+
+def test_ordinal_fit_is_a_maximum():
+    """The slope of the penalised likelihood, by differences, vanishes at the fit."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3))
+    y = np.digitize(x @ [1.0, -2.0, 0.5] + rng.logistic(size=500), [-0.5, 1.0])
+    rows, cols = np.repeat(np.arange(500), 3), np.tile(np.arange(3), 500)
+    w, t = toxicity.fit_ordinal(rows, cols, x.ravel(), y, 3, steps=4000)
+
+    def value(p):
+        over = 1 / (1 + np.exp(-((x @ p[:3])[:, None] - p[3:][None, :])))
+        chance = np.concatenate([np.ones((500, 1)), over], axis=1) - np.concatenate([over, np.zeros((500, 1))], axis=1)
+        return np.log(chance[np.arange(500), y]).mean() - 0.5e-3 * (p[:3] ** 2).sum()
+
+    at = np.concatenate([w, t])
+    for i in range(5):
+        step = np.zeros(5)
+        step[i] = 1e-5
+        assert abs(value(at + step) - value(at - step)) / 2e-5 < 2e-3
+
+
 def test_ordinal_fit_recovers_order():
     rng = np.random.default_rng(1)
     x = rng.normal(size=4000)
