@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -33,12 +34,14 @@ def counts(text: str) -> tuple[Counter, int]:
 
 @dataclass
 class Model:
-    """P(grade > k) = sigmoid(weights . x - thresholds[k]); x is a feature's share of the words
-    in percent, clipped at CLIP. All thresholds share the weights and rise with k."""
+    """P(grade > k) = sigmoid(weights . x - thresholds[k]); x is the square root of a feature's
+    share of the words in percent, clipped at CLIP, so that few words in a long text still tell.
+    All thresholds share the weights and rise with k. A text is toxic if P(grade > 0) reaches
+    the cut, which is below one half as the toxic are few and to be caught."""
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=lambda: [4.0, 6.0])
-    cut: float = 0.5
+    cut: float = 0.4
 
     def score(self, text: str) -> tuple[float, int, bool]:
         """Expected severity, the likeliest grade, and whether P(grade > 0) reaches the cut."""
@@ -50,13 +53,13 @@ class Model:
             for w, n in Counter(words).items():
                 v = get(w)
                 if v is not None:
-                    z += v * min(CLIP, per * n)
+                    z += v * min(CLIP, math.sqrt(per * n))
                 if len(w) > stem:
                     s = "^" + w[:stem]
                     if s in self.weights:
                         stems[s] += n
             for s, n in stems.items():
-                z += self.weights[s] * min(CLIP, per * n)
+                z += self.weights[s] * min(CLIP, math.sqrt(per * n))
         over = [1.0 / (1.0 + np.exp(-max(-40.0, min(40.0, z - t)))) for t in self.thresholds]
         chances = [a - b for a, b in zip([1.0, *over], [*over, 0.0])]
         return float(sum(over)), int(np.argmax(chances)), bool(over[0] >= self.cut)
@@ -94,15 +97,15 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grades: np
     return w, np.concatenate([first, first + np.cumsum(np.exp(gaps))])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features: int = 2048, least_docs: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features: int = 1024, least_docs: int = 3) -> Model:
     """Fit on a bounded sample: the `max_rows` labelled documents of the smallest id hashes.
 
-    Labels say toxic or not; the grade of a toxic one is 1 or 2, by whether the share of its
-    words that speak for toxicity (log odds over 2 in the sample) is below or at least the
-    median of the toxic documents. Features are the words and word beginnings of the highest
+    Labels say toxic or not. The grade of a toxic one is an extension of them: 1 or 2, by whether
+    the share of its words that speak for toxicity (log odds over 2 in the sample) is below or
+    at least the median of the toxic documents. Features are the words and word beginnings of the highest
     absolute log odds times root frequency. Labels that are null, or whose document is missing,
-    are left out; of repeated labels the highest counts. Without toxic labels the model rejects
-    nothing.
+    are left out; of repeated labels the highest counts. Without toxic labels, or without
+    features, the model rejects nothing.
     """
     sample = (
         labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -132,6 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features
         .where((F.col("n") >= least_docs) & (F.col("f") != "")).withColumn("odds", odds)
         .orderBy(F.desc(F.abs("odds") * F.sqrt("n")), "f").limit(max_features).collect()
     )
+    if not table:
+        return Model()
     index = {r["f"]: i for i, r in enumerate(table)}
     speak = {r["f"] for r in table if r["odds"] > 2 and not r["f"].startswith("^")}
 
@@ -140,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_features
             rows = []
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found, words = counts(text)
-                own = [(index[f], min(CLIP, 100.0 * n / words)) for f, n in found.items() if f in index] if words else []
+                own = [(index[f], min(CLIP, math.sqrt(100.0 * n / words))) for f, n in found.items() if f in index] if words else []
                 rows.append((y, sum(found[f] for f in speak) / max(1, words), [i for i, _ in own], [v for _, v in own]))
             kinds = [("y", pa.int32()), ("share", pa.float64()), ("i", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * 4, kinds)], names=[k for k, _ in kinds])
@@ -177,6 +182,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of docs that the model does not call toxic, with all their columns."""
+    """The rows of docs that the model does not call toxic, with all their columns.
+
+    Null and empty texts have no words and stay, very long ones are read whole, repeated rows
+    and rows without a doc_id are judged each by its text; an empty table gives an empty
+    result."""
     model = train(docs, labels, **params)
     return docs.where(~severity(model, docs["text"])["toxic"])
