@@ -7,6 +7,7 @@ Arrow-batched UDF; counts, redaction and features work on its result with expres
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from urllib.parse import urlsplit
@@ -32,9 +33,10 @@ RANK = {
     "url": 70, "case_reference": 60, "monetary_amount": 55, "authority_organisation": 40, "payment_app": 35,
 }
 # fixed values: handles of payment addresses, and names with the patterns they go by
-UPI_HANDLES = frozenset(
-    "upi ybl ibl axl paytm okaxis okhdfcbank okicici oksbi apl ptyes pthdfc pingpay waaxis wahdfcbank waicici wasbi naviaxis navihdfc navisbi".split()
-)
+UPI_HANDLES = [
+    "upi", "ybl", "ibl", "axl", "paytm", "okaxis", "okhdfcbank", "okicici", "oksbi", "apl", "ptyes", "pthdfc", "pingpay",
+    "waaxis", "wahdfcbank", "waicici", "wasbi", "naviaxis", "navihdfc", "navisbi",
+]
 AUTHORITIES = {
     "CBI": r"\b(?:cbi|central bureau of investigation)\b",
     "RBI": r"\b(?:rbi|reserve bank of india)\b",
@@ -53,6 +55,7 @@ PAYMENT_APPS = {
     "BHIM": r"\bbhim\b",
     "WhatsApp Pay": r"\bwhatsapp\s*pay\b",
 }
+# fixed values: patterns of identifiers, the words that must stand near a number, and how near
 URL = r"(?i)\b(?:https?://|www\.)[^\s<>\"']+"
 EMAIL = r"(?i)(?<![\w.-])[\w.+-]{1,64}@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
 UPI = r"(?i)(?<![\w.-])[a-z0-9._-]{2,100}@([a-z][a-z0-9]{1,30})(?![\w-]|\.[a-z0-9])"
@@ -150,6 +153,8 @@ NAME_HINTS = {
     "Income Tax": ("income", "आयकर"), "PhonePe": ("phone",), "Google Pay": ("google", "gpay"), "Paytm": ("paytm",), "BHIM": ("bhim",), "WhatsApp Pay": ("whatsapp",),
 }
 DIGIT = re.compile(r"\d")
+# letters that a pattern without case takes for an ASCII one, though lower() does not give it
+FOLDED = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})
 WITH_DIGITS = {"phone_number", "otp_code", "aadhaar_number", "bank_account_candidate", "monetary_amount"}
 
 
@@ -173,7 +178,7 @@ RULES = _rules()
 
 
 def found(text: str) -> Iterator[Entity]:
-    low, digits = text.lower(), DIGIT.search(text) is not None
+    low, digits = (text if text.isascii() else text.translate(FOLDED)).lower(), DIGIT.search(text) is not None
     for kind, pattern, rule, sure, secret, hints in RULES:
         if hints and not any(h in low for h in hints) or not digits and kind in WITH_DIGITS:
             continue
@@ -186,13 +191,21 @@ def found(text: str) -> Iterator[Entity]:
 
 def entities_of(text: str | None) -> list[Entity]:
     """Entities in text order; of overlapping ones the higher rank, then the surer, then the
-    earlier stays."""
-    best = sorted(found(text or ""), key=lambda e: (-RANK[e.entity_type], -e.confidence, e.start))
+    earlier stays. What stays is a list of intervals apart from each other in text order, so one
+    that comes later has at most two neighbours to clear."""
+    ranked: dict[tuple[int, float, int], list[Entity]] = {}
+    for e in found(text or ""):
+        ranked.setdefault((-RANK[e.entity_type], -e.confidence, e.start), []).append(e)
+    starts: list[int] = []
     stay: list[Entity] = []
-    for e in best:
-        if all(e.end <= o.start or o.end <= e.start for o in stay):
-            stay.append(e)
-    return sorted(stay, key=lambda e: (e.start, e.end, e.entity_type))
+    for key in sorted(ranked):
+        for e in ranked[key]:
+            at = bisect_left(starts, e.start)
+            before, after = stay[at - 1 : at] if at else [], stay[at : at + 1]
+            if not any(o.end > e.start for o in before) and not any(o.start < e.end for o in after):
+                starts.insert(at, e.start)
+                stay.insert(at, e)
+    return stay
 
 
 @pandas_udf(T.ArrayType(ENTITY))

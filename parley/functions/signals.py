@@ -77,11 +77,14 @@ TYPE_RULES = [
     (["job offer", "registration fee", "instant loan", "loan approval"], "loan_job"),
     (["technical support", "remote access", "your computer", "microsoft support"], "tech_support"),
 ]
+# fixed values: substrings that turn a bank story into an account takeover
 TAKEOVER_WORDS = ["otp", "cvv", "pin share"]
+# fixed values: scam types of source categories
 CATEGORY_TYPES = {
     "police_digital_arrest": "digital_arrest", "police_blackmail": "digital_arrest", "aadhaar": "digital_arrest",
     "bank_kyc": "fake_kyc_bank", "amazon": "courier_customs", "relative": "impersonation_other",
 }
+# fixed values: words that a hard negative shares with scams
 RISK_WORDS = (
     "bank|account|police|cbi|rbi|aadhaar|aadhar|courier|parcel|otp|pin|payment|transfer|money|fraud|card|kyc|loan|"
     "refund|security|verification|case|arrest|खाता|बैंक|पुलिस|पैसे|भुगतान|ओटीपी|आधार"

@@ -288,9 +288,17 @@ def redacted_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(text.mask(F.col("text"), [(URL, "[URL]"), (EMAIL, "[EMAIL]")]), 256).alias("redacted_sha256"))
 
 
-@query()
+# DuckDB's edit distance counts bytes, so letters beyond ASCII are written as control characters
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßàäçèéêíñóôöûü"
+_MARKS = " || ".join(f"chr({c})" for c in [*range(1, 9), 11, 12, *range(14, 14 + len(_LETTERS) - 10)])
+_BYTES = f"translate(text, '{_LETTERS}', {_MARKS})"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, length(text) AS n, {_BYTES} AS x FROM conversations)
+SELECT a.conv_id, a.turn, CASE WHEN trim(a.x) = '' AND trim(b.x) = '' THEN 0.0 WHEN trim(a.x) = '' THEN 1.0 ELSE levenshtein(a.x, b.x)::DOUBLE / a.n END AS cer
+FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
 def cer(t: Tables) -> DataFrame:
-    """Character error rate of a turn against the next; DuckDB's edit distance counts bytes."""
+    """Character error rate of a turn against the next."""
     a = t.conversations.select("conv_id", "turn", F.col("text").alias("ref"))
     b = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", metrics.edit_rates(a, "ref", "hyp")["cer"].alias("cer"))
