@@ -103,3 +103,15 @@ def request_grid(spark, scenarios: list[str], choices: list[str], n: int, salt:
     at = F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(len(choices))).cast("int") + 1
     made = spark.range(n).select("id", pick(scenarios, (F.col("id") % len(scenarios)).cast("int") + 1).alias("scenario"), pick(choices, at).alias("choice"))
     return made.withColumn("rank", F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256))
+
+
+def sortish_batches(df: DataFrame, key: str, length: str, batch: int, batches: int, salt: str = "batch|") -> DataFrame:
+    """df with `batch`, `slot` and `batch_rank`: rows shuffled by hash, cut into mega-batches of
+    batch * batches rows, sorted by length within one, and cut into batches, which `batch_rank`
+    shuffles. So a batch pads little and an epoch's order stays mixed."""
+    placed = with_rank(df.withColumn("_all", F.lit(0)), key, ["_all"], salt, "_k")
+    mega = F.expr(f"(_k - 1) div {batch * batches}")
+    inner = F.row_number().over(W.partitionBy("_mega").orderBy(F.desc(length), "_r", key)) - 1
+    made = placed.withColumn("_mega", mega).withColumn("_i", inner)
+    made = made.withColumn("batch", F.col("_mega") * batches + F.expr(f"_i div {batch}")).withColumn("slot", F.col("_i") % batch)
+    return made.withColumn("batch_rank", F.sha2(F.concat(F.lit("order|"), F.col("batch").cast("string")), 256)).drop("_all", "_r", "_n", "_k", "_mega", "_i")

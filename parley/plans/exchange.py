@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
-from ..operators import ingest, reports
+from ..functions.text import head_tail
+from ..operators import ingest, loaders, reports, sampling
 from ..sources import paged, readers, writers
 from ..storage import new_path
 from ..streaming import handoff
-from .conversations import split_of, unit_sql
-from .corpus import PARTS, QUALITY, canonical
+from .conversations import LINE_SQL, split_of, unit_sql
+from .corpus import PARTS, QUALITY, canonical, gathered, spoken
 from .events import _DELAY_SQL, received
 from .registry import Tables, query
 
@@ -270,3 +271,79 @@ def latched_turns(t: Tables) -> DataFrame:
     key = F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
     turns = streamed(t, "conversations").select(F.col("conv_id").cast("string").alias("conversation_id"), F.col("turn").cast("int").alias("turn"), hashing.unit32(key, "live").alias("score"))
     return drained(handoff.latched(turns, 0.8), handoff.LATCH)
+
+
+@query(f"""WITH r AS (SELECT doc_id, n_chars, sha256('batch|' || doc_id) AS h FROM documents), k AS (SELECT *, row_number() OVER (ORDER BY h, doc_id) - 1 AS place FROM r),
+m AS (SELECT *, place // 64 AS mega FROM k), b AS (SELECT *, row_number() OVER (PARTITION BY mega ORDER BY n_chars DESC, h, doc_id) - 1 AS i FROM m),
+g AS (SELECT *, mega * 8 + i // 8 AS batch FROM b) SELECT doc_id, batch, i % 8 AS slot, sha256('order|' || batch) AS batch_rank FROM g""")
+def sortish_batches(t: Tables) -> DataFrame:
+    """Batches of like length: a seeded shuffle, lengths sorted within mega-batches, batches
+    shuffled."""
+    return sampling.sortish_batches(t.documents.select("doc_id", "n_chars"), "doc_id", "n_chars", 8, 8).select("doc_id", "batch", "slot", "batch_rank")
+
+
+@query("""WITH d AS (SELECT doc_id, list_transform(range(1 + doc_id % 20), lambda x: (x + 10)::INT) AS ids FROM documents)
+SELECT doc_id, CASE WHEN len(ids) <= 8 THEN [1] || ids || [2] ELSE [1] || ids[1:3] || [3] || ids[len(ids) - 3:len(ids)] || [2] END AS ids FROM d""")
+def head_tail_ids(t: Tables) -> DataFrame:
+    """Token ids cut to a budget: the head, a separator, the tail."""
+    ids = F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 20).cast("int")), lambda x: x + 10)
+    return t.documents.select("doc_id", head_tail(ids, 10, 0.5, 1, 3, 2).alias("ids"))
+
+
+@query("SELECT doc_id::VARCHAR AS record_id, toxic AS label, 'clips/' || lang || '/./' || doc_id || '.wav' AS audio_path FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL")
+def audio_manifest(t: Tables) -> DataFrame:
+    """Rows of an audio validation set, checked: relative paths inside their root, both labels."""
+    rows = t.documents.join(t.labels, "doc_id").where("toxic is not null").select(
+        F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").cast("string").alias("conversation_id"), F.col("toxic").alias("label"), F.lit("audio_validation").alias("split"),
+        F.concat(F.lit("clips/"), "lang", F.lit("/./"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("audio_path"), F.lit(True).alias("pii_redacted"), F.lit("said").alias("reference_text"),
+        F.col("lang").alias("language"), F.col("source").alias("source_group"), F.lit("granted").alias("rights_basis"),
+    )
+    return loaders.audio_records(rows).select("record_id", "label", "audio_path")
+
+
+@query("""SELECT doc_id::VARCHAR || '.' || CASE doc_id % 3 WHEN 0 THEN 'wav' WHEN 1 THEN 'MP3' ELSE 'txt' END AS path, CASE WHEN doc_id % 3 = 2 THEN 'bad_extension' WHEN n_chars = 0 THEN 'empty_file' WHEN n_chars > 2000 THEN 'too_large' END AS fault FROM documents""")
+def audio_files(t: Tables) -> DataFrame:
+    kinds = F.array(F.lit("wav"), F.lit("MP3"), F.lit("txt"))
+    path = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.element_at(kinds, (F.col("doc_id") % 3 + 1).cast("int")))
+    return loaders.audio_file_faults(t.documents.select(path.alias("path"), F.col("n_chars").alias("length")), ["wav", "mp3"], 2000).select("path", "fault")
+
+
+@query(f"""WITH {PARTS} SELECT id AS conversation_id, 'train' AS split, CASE WHEN is_scam = 0 AND dataset IN ('intents', 'daily', 'schema_guided') THEN 0.5 ELSE 1.0 END::DOUBLE AS sample_weight FROM whole""")
+def train_only_rows(t: Tables) -> DataFrame:
+    """Rows that may only train, weighed by their provenance."""
+    rows = canonical(t).withColumn("allowed_splits", F.array(F.lit("train")))
+    return loaders.train_only(rows, ["source_label", "source_negative"], {"source_negative": 0.5}).select("conversation_id", "split", "sample_weight")
+
+
+@query("""SELECT '{"doc_id": ' || doc_id || ', "toxic": ' AS bad FROM labels WHERE toxic = 1""")
+def jsonl_faults(t: Tables) -> DataFrame:
+    """The malformed lines of a file, here the toxic ones, cut short."""
+    path = new_path(t.spark, "jsonl")
+    start = F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "toxic": '))
+    t.labels.select(F.when(F.col("toxic") == 1, start).otherwise(F.concat(start, F.lit("0}"))).alias("value")).write.text(path)
+    return readers.read_jsonl_errors(t.spark, path, "doc_id long, toxic int").select(F.col("_corrupt_record").alias("bad"))
+
+
+@query("SELECT item_id::VARCHAR AS id, text FROM benchmark UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations")
+def csv_encodings(t: Tables) -> DataFrame:
+    """CSV files of two encodings side by side, each read in its own."""
+    path = new_path(t.spark, "csv")
+    key = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    t.benchmark.select(F.col("item_id").cast("string").alias("id"), "text").write.csv(f"{path}/part=utf8", header=True, escape='"')
+    t.conversations.select(key.alias("id"), "text").write.csv(f"{path}/part=latin", header=True, escape='"', encoding="ISO-8859-1")
+    return readers.read_csv_any_encoding(t.spark, f"{path}/part=*").select("id", "text")
+
+
+@query(f"""WITH c AS (SELECT conv_id, count(*) AS n, max((trim(text) = '')::INT) AS blank, length(string_agg({LINE_SQL}, chr(10) ORDER BY turn)) AS chars, {unit_sql('conv_id', 'detect')} AS score FROM conversations GROUP BY conv_id),
+r AS (SELECT *, CASE WHEN n > 5 THEN 'too_many_turns' WHEN blank = 1 THEN 'empty_turn' WHEN chars > 1500 THEN 'too_long' END AS refused FROM c)
+SELECT conv_id AS conversation_id, refused, CASE WHEN refused IS NULL THEN score >= 0.6 END AS is_scam, CASE WHEN refused IS NULL THEN score END AS scam_score,
+CASE WHEN refused IS NULL THEN CASE WHEN score < 0.6 THEN 'detector_did_not_cross_threshold' END END AS blocked_reason, 'base_detector' AS decision_source FROM r""")
+def detections(t: Tables) -> DataFrame:
+    """Responses of the detector with a stand-in score: refusals, decisions, hand-off advice."""
+    from ..operators import detect
+
+    score = lambda df: df.withColumn("score", hashing.unit32(F.col("conversation_id").cast("string"), "detect"))
+    rows = gathered(t, spoken()).withColumnRenamed("conv_id", "conversation_id")
+    policy = detect.Policy(detector_status="eligible", enable_handoff=True, maximum_turns=5, maximum_characters=1500)
+    made = detect.detect(rows, score, 0.6, policy)
+    return made.select("conversation_id", "refused", "is_scam", "scam_score", F.col("handoff.blocked_reason").alias("blocked_reason"), "decision_source")

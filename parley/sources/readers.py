@@ -50,8 +50,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_jsonl_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The malformed lines of a file, instead of a failure."""
-    return spark.read.schema(schema + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path).where("_corrupt_record is not null")
+    """The malformed lines of a file, instead of a failure. Lines are parsed one by one, so that
+    the corrupt column can be asked for alone."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(parsed.alias("x")).select("x.*").where("_corrupt_record is not null")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
