@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..storage import discard, materialize
 
 
+def least_of_neighbours(pairs: DataFrame) -> DataFrame:
+    """Links (u, v) from each greater neighbour to the least one, and repeats, before they are
+    made distinct: the join of a round, whose sides AQE may split."""
+    both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
+    return both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 
@@ -29,11 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == now or not now["n"]:
             break
         state = now
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
-        large = materialize(
-            both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
-        )
+        large = materialize(least_of_neighbours(pairs).distinct(), "large")
         star = large.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
         moved = large.join(star, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         step = materialize(

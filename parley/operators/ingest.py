@@ -65,6 +65,9 @@ def canonical(df: DataFrame, dataset: str, said: Column, record: Column, is_scam
         F.lit(None).cast("string").alias("license"), record.cast("string").alias("record_id"), F.lit(None).cast("string").alias("original_split"),
         F.lit(source_type).alias("source_type"),
     )
+    # columns of their own, so that they are not worked out again for every turn
+    df = df.withColumns({"_said": said, "_kind": scam_type})
+    said, scam_type = F.col("_said"), F.col("_kind")
     return df.select(
         F.lit(VERSION).alias("schema_version"), hashing.stable_id(dataset, record.cast("string")).alias("conversation_id"), source.alias("source"),
         F.array(lang).alias("language_profile"),

@@ -4,7 +4,10 @@ The page function is given, so nothing here reaches a network by itself."""
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -43,3 +46,32 @@ def with_retries(fetch: Fetch, tries: int = 3, wait: Callable[[int], None] = lam
         return []
 
     return again
+
+
+def download(fetch: Callable[[], Iterator[bytes]], path: str, tries: int = 3, wait: Callable[[int], None] = lambda n: time.sleep(2**n), most_bytes: int | None = None) -> int:
+    """Write what `fetch` yields to a file, whole or not at all: blocks go to a .part file that
+    takes the name at the end. A failed try starts anew after a wait that doubles; a body beyond
+    `most_bytes` is an error at once. Returns the bytes written."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(target.name + ".part")
+    for n in range(1, tries + 1):
+        try:
+            size = 0
+            with part.open("wb") as out:
+                for block in fetch():
+                    size += len(block)
+                    if most_bytes is not None and size > most_bytes:
+                        raise ValueError(f"the body exceeds {most_bytes} bytes")
+                    out.write(block)
+            os.replace(part, target)
+            return size
+        except OSError:
+            part.unlink(missing_ok=True)
+            if n == tries:
+                raise
+            wait(n)
+        except ValueError:
+            part.unlink(missing_ok=True)
+            raise
+    return 0

@@ -243,3 +243,31 @@ def test_ranks_of_a_hot_group(spark):
     got = sampling.with_rank(df, "id", ["source"]).select("id", "source", "rank", "_r")
     want = got.withColumn("w", F.expr("row_number() over (partition by source order by _r, id)"))
     assert want.where("w <> rank").isEmpty() and want.count() == 3000
+
+
+def test_a_hub_is_split(spark):
+    """The join of a round, planned for small partitions, splits the hub's."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        pairs = spark.range(100_000).select((F.col("id") + 1).alias("u"), F.lit(0).cast("long").alias("v"))
+        large = graph.least_of_neighbours(pairs).groupBy().count()
+        assert large.collect()[0][0] == 100_000 and "skew=true" in large._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+
+
+def test_forests_connect_what_pairs_connect(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    fps = [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 5))) for b in base for _ in range(40)]
+    rows = [(i, x - (1 << 64) if x >> 63 else x, None if i % 3 == 0 else "s") for i, x in enumerate(f & (2**64 - 1) for f in fps)]
+    df = spark.createDataFrame(rows, "id long, fp long, source string")
+    pairs, links = dedup.near_pairs(df, ["source"]), dedup.near_links(df, ["source"])
+    roots = lambda e: {(r.node, r.root) for r in graph.connected_components(e.select("a", "b")).collect()}
+    assert roots(pairs) == roots(links) and links.count() < pairs.count()

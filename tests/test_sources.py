@@ -68,3 +68,32 @@ def test_writers(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "s" / "split=train")).count() == 2
     writers.write_json(str(tmp_path / "r.json"), {"b": 1, "a": 2})
     assert readers.read_json(str(tmp_path / "r.json")) == {"a": 2, "b": 1}
+
+
+def test_encodings_of_files_side_by_side(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("text\ncaf\u00e9\n".encode())
+    (tmp_path / "b.csv").write_bytes("text\ncr\u00e8me\n\u00fc\n".encode("latin-1"))
+    got = readers.read_csv_any_encoding(spark, str(tmp_path)).collect()
+    assert sorted((r.text, r.row) for r in got) == [("caf\u00e9", 0), ("cr\u00e8me", 0), ("\u00fc", 1)]
+
+
+def test_download_is_whole_or_not_there(tmp_path):
+    from parley.sources import paged
+
+    failures, waits = [2], []
+
+    def fetch():
+        yield b"ab"
+        if failures[0]:
+            failures[0] -= 1
+            raise OSError("gone")
+        yield b"cd"
+
+    assert paged.download(fetch, str(tmp_path / "x" / "f"), wait=waits.append) == 4 and waits == [1, 2]
+    assert (tmp_path / "x" / "f").read_bytes() == b"abcd" and len(list((tmp_path / "x").iterdir())) == 1
+    with pytest.raises(ValueError):
+        paged.download(fetch, str(tmp_path / "g"), most_bytes=3)
+    failures[0] = 9
+    with pytest.raises(OSError):
+        paged.download(fetch, str(tmp_path / "g"), wait=waits.append)
+    assert not (tmp_path / "g").exists() and not (tmp_path / "g.part").exists()
