@@ -30,7 +30,7 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     return F.concat(*map(of_size, sizes))
 
 
-def tfidf_stages(vocabulary: int = 4096, least_docs: int = 2, most_share: float = 0.995) -> list:
+def tfidf_stages(vocabulary: int = 80_000, least_docs: int = 2, most_share: float = 0.995) -> list:
     """Counts of words, word pairs and character n-grams. Inverse document frequencies are fitted
     by fit_tfidf, as MLlib's own lacks the smoothing term."""
     counter = lambda name: CountVectorizer(inputCol=name, outputCol=f"{name}_tf", vocabSize=vocabulary, minDF=least_docs, maxDF=most_share)
@@ -40,7 +40,7 @@ def tfidf_stages(vocabulary: int = 4096, least_docs: int = 2, most_share: float
     ]
 
 
-def fit_tfidf(df: DataFrame, vocabulary: int = 4096) -> Callable[[DataFrame], DataFrame]:
+def fit_tfidf(df: DataFrame, vocabulary: int = 80_000) -> Callable[[DataFrame], DataFrame]:
     """A transform that adds `features`: sublinear term frequency times smoothed inverse document
     frequency, unit length. The frequencies held by the driver are as long as the vocabulary."""
     prepared = df.withColumn("chars", char_ngrams(F.col("text")))
@@ -174,7 +174,7 @@ def truncated_svd(df: DataFrame, k: int = 128, features: str = "features") -> Ca
     return lambda d: d.withColumn("reduced", project(features))
 
 
-def fit_detector(df: DataFrame, vocabulary: int = 4096, weight: str | None = None) -> Callable[[DataFrame], DataFrame]:
+def fit_detector(df: DataFrame, vocabulary: int = 80_000, weight: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """Features and a linear model on the rows given; a transform that adds `score`."""
     features = fit_tfidf(df, vocabulary)
     model = linear(weight).fit(features(df))
