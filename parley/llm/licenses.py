@@ -76,6 +76,9 @@ RULES = [
 # or several in a row, as texts are wrapped and sentences hold marks ("v. 2.0", "software: you")
 SPLIT = r"[.!?;:]+\s+|\n+"
 OTHERS, LINE_ENDS = "[^a-z0-9\n]+", " *\n[ \n]*"
+# in any text: words of which every known sentence has one; they hold no white space and no letter
+# whose case folding differs, so raw and normalised text hold them alike
+WORDS = "(?i)licen[sc]|copyright|warrant|redistribut|permission|free|rights|unencumbered|written|later|endorse"
 # in normalised text: of these, every known sentence has one
 HINT = "licen[sc]|copyright|warrant|redistribut|permission|free[ |]+software|all[ |]+rights|unencumbered|written|any[ |]+later|endorse"
 
@@ -90,13 +93,14 @@ def sentence_steps() -> list[tuple[str, str]]:
 
 
 def sentence_ids(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in order; null where HINT finds none."""
+    """The identifiers of the known sentences of a text, in order; null where WORDS or HINT finds
+    none. Texts without the words are not normalised."""
     cut = F.regexp_replace(F.lower(F.regexp_replace(text, SPLIT, "|\n")), OTHERS, " ")
     line = F.concat(F.lit("|"), F.trim(F.regexp_replace(cut, LINE_ENDS, "||")), F.lit("|"))
     found = line
     for pattern, ids in sentence_steps():
         found = F.regexp_replace(found, pattern, ids)
-    return F.when(line.rlike(HINT), F.regexp_extract_all(found, F.lit(r"\|#([^|]+)"), F.lit(1)))
+    return F.when(text.rlike(WORDS), F.when(line.rlike(HINT), F.regexp_extract_all(found, F.lit(r"\|#([^|]+)"), F.lit(1))))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -104,8 +108,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     both comma-joined, the latter in the order of RULES without repeats; a longer BSD rule
     hides the shorter one.
 
-    Sentences are found wrapped as well as on one line. HINT, tested on the normalised text,
-    names words of which every known sentence has one, so other texts are not searched. Null
+    Sentences are found wrapped as well as on one line. WORDS, tested on the text,
+    and HINT, tested on the normalised text, name what every known sentence has, so other texts
+    are not searched. Null
     and empty texts hold nothing; very long ones are searched whole; a repeated row is reported
     each time; an empty table gives an empty result.
     """

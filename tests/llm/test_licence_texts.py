@@ -56,7 +56,9 @@ def test_hint_loses_nothing(spark, monkeypatch):
     texts += [k.replace(" ", "\n", 3).replace(" ", " \t-", 5).upper() for k in known]
     run = lambda: [tuple(r) for r in licenses.scan_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()]
     with_hint = run()
+    assert all(re.search(licenses.WORDS, k) for k in known)
     monkeypatch.setattr(licenses, "HINT", "")
+    monkeypatch.setattr(licenses, "WORDS", "")
     assert run() == with_hint
     assert [r[2] for r in with_hint[:3]] == ["reserved.notice"] * 3
 
