@@ -89,7 +89,8 @@ def near_pairs(df: DataFrame, block: list[str], ident: str = "id", fp: str = "fp
     equal. The distance is checked before the pairs are made distinct. All pairs of a dense
     block come out; for components near_links does less."""
     spread = representatives(df, block, ident, fp).withColumn("key", F.explode(meeting_keys(fp, radius, bands)))
-    left, right = spread.alias("l"), spread.alias("r")
+    # the keys multiply the rows, of which the planner knows only the size before that: no side is broadcast
+    left, right = spread.alias("l"), spread.alias("r").hint("merge")
     same = F.expr(" and ".join([*(f"l.{c} <=> r.{c}" for c in block), "l.key = r.key", "l.id < r.id"]))
     distance = hashing.hamming(F.col(f"l.{fp}"), F.col(f"r.{fp}"))
     return left.join(right, same).where(distance <= radius).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance")).distinct()

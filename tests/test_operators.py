@@ -22,6 +22,12 @@ def test_components(spark):
     assert graph.connected_components(edges.limit(0)).count() == 0
 
 
+def test_near_pairs_broadcast_no_side(spark):
+    df = spark.range(1000).select("id", F.lit("s").alias("source"), F.xxhash64("id").alias("fp"))
+    plan = dedup.near_pairs(df, ["source"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_near_pairs_are_complete(spark):
     import random
 
